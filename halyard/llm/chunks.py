@@ -11,14 +11,32 @@ import json
 import re
 import sys
 import types
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 
 #: What a cut at blanks and newlines may not hold for: other white space, the mark used for cutting, most runs.
-_OTHER = r"[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|  | \n|\n |\n\n(?=[\n%s]|\Z)"
+_OTHER = re.compile(r"[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_RUNS = ("  ", " \n", "\n ", "\n\n\n")
+#: Chunks of letters, digits and marks that any Unicode version sorts alike and NFC leaves alone, and their
+#: pre-tokens, by kind: fixed values of the two tokenizers' patterns for these characters.
+_SIMPLE = re.compile(r" ?[!-~À-ÖØ-öø-ÿ]+")
+_CUT = {
+    "blanks": r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+| ",
+    "words": r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+",
+}
 #: Distinct chunks kept in each of two generations, and characters cut at a time.
-GENERATION, SLICE = 300_000, 2_000_000
+GENERATION, SLICE = 400_000, 1_000_000
+
+
+@lru_cache(maxsize=1)
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes as: printable ones themselves, the others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 class ChunkEncoder:
@@ -30,65 +48,86 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = kind_of(spec)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         special = [t for t in spec.get("added_tokens", []) if t.get("special") and not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"]]
         if len(special) != len(spec.get("added_tokens", [])):
             self.kind = "whole"
         self.marks = [t["content"] for t in special]
-        self.mark, self.mark_id = (special[0]["content"], special[0]["id"]) if special else ("", -1)
-        self.other = re.compile(_OTHER % "".join(re.escape(m[0]) for m in self.marks))
-        self.new: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
+        self.runs = _RUNS + tuple("\n\n" + m[0] for m in self.marks)
+        self.model = self.tokenizer.model
+        letters = byte_letters()
+        self.latin = str.maketrans({chr(c): "".join(letters[b] for b in chr(c).encode()) for c in range(256)})
+        self.tokenize = self.model.tokenize
+        self.cut, self.short = re.compile(_CUT[self.kind]) if self.kind in _CUT else None, {}
+        self.new = Known(self._ids)
 
     def chunks(self, text: str) -> list[str] | None:
         """The text's chunks, or None where it must stay whole."""
         if self.kind == "words":
             return text.replace("\n", " ").split(" ")
-        if self.kind == "blanks" and not self.other.search(text):
+        if self.kind == "blanks" and self.regular(text):
             return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         return None
 
+    def regular(self, text: str) -> bool:
+        return not (_OTHER.search(text) or text.endswith("\n\n") or any(r in text for r in self.runs))
+
+    def _ids(self, word: str) -> bytes:
+        """A chunk's ids: of words, marks and numbers by the library's model, of others by all of its steps."""
+        body = word[1:] if word[0] == " " else word
+        if self.cut and body.isalpha() and (body.isascii() or max(body) <= "ÿ"):
+            return self._model(word)
+        if self.cut and body[:-1].isalpha() and body[-1] in ".," and (body.isascii() or max(body) <= "ÿ"):
+            return self._model(word[:-1]) + self._part(body[-1])
+        if not self.cut or not _SIMPLE.fullmatch(word) or any(m[0] in word for m in self.marks):
+            return self._library([word])[0]
+        return b"".join(map(self._part, self.cut.findall(word.lower() if self.kind == "words" else word)))
+
+    def _part(self, part: str) -> bytes:
+        """Marks and numbers recur; words mostly do not."""
+        if part[-1].isalpha():
+            return self._model(part)
+        if part not in self.short:
+            if len(self.short) > 20_000:
+                self.short.clear()
+            self.short[part] = self._model(part)
+        return self.short[part]
+
+    def _model(self, part: str) -> bytes:
+        """Ids of one pre-token, whose letters are at most U+00FF."""
+        if self.kind == "words":
+            part = part.lower()
+        part = part.replace(" ", "Ġ") if part.isascii() else part.translate(self.latin)
+        return array(self.code, [t.id for t in self.tokenize(part)]).tobytes()
+
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode chunks many at a time: a special token between them keeps them apart."""
-        if not self.mark:
-            self.new.update(zip(words, self._library(words), strict=True))
-            return
-        odd = [w for w in words if any(m in w for m in self.marks) or self.mark[0] in w or self.mark[-1] in w]
-        for k in range(0, len(odd), 4096):
-            self.new.update(zip(odd[k : k + 4096], self._library(odd[k : k + 4096]), strict=True))
-        seen = set(odd)
-        plain = [w for w in words if w not in seen] if odd else words
-        for k in range(0, len(plain), 4096):
-            part = plain[k : k + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.flatnonzero(ids == self.mark_id)
-            if len(ends) != len(part) - 1:
-                raise ValueError("a chunk holds a special token")
-            raw, size = ids.tobytes(), self.dtype.itemsize
-            starts = [0, *((ends + 1) * size).tolist()]
-            self.new.update(zip(part, map(raw.__getitem__, map(slice, starts, [*(ends * size).tolist(), len(raw)])), strict=True))
-
-    def known(self, lists: list[list[str]]) -> dict[str, bytes]:
-        """A table of ids that has every chunk of ``lists``."""
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids(self, chunks: list[str]) -> Iterator[bytes]:
+        """Each chunk's ids."""
         if len(self.new) > GENERATION:
-            self.old, self.new = self.new, {"": b""}
-        missing = set().union(*lists).difference(self.new)
-        if self.old:
-            again = missing.intersection(self.old)
-            self.new.update((w, self.old[w]) for w in again)
-            missing -= again
-        if missing:
-            self._learn(list(missing))
-        return self.new
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+            self.new = Known(self._ids, self.new)
+        return map(self.new.__getitem__, chunks)
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian numbers of ``dtype``."""
-        lists = [self.chunks(t) for t in texts]
-        get = self.known([x for x in lists if x is not None]).__getitem__
-        whole = iter(self._library([t for t, x in zip(texts, lists, strict=True) if x is None]))
-        return [next(whole) if x is None else b"".join(map(get, x)) for x in lists]
+        for text in texts:
+            own = self.chunks(text)
+            yield self._library([text])[0] if own is None else b"".join(self.ids(own))
+
+
+class Known(dict):
+    """Chunks' ids, found once; what the generation before knew is taken over."""
+
+    def __init__(self, find, before=None):
+        self.find, self.before = find, before or {}
+        super().__init__({"": b""})
+        if before:
+            before.before = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = dict.get(self.before, word) or self.find(word)
+        return ids
 
 
 def kind_of(spec: dict) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halyard.llm import credentials, host_rules, mixing, near_dup, packing, token_counts, token_files
+from halyard.llm import credentials, host_rules, mixing, near_dup, packing, quality_gbt, surrogates, token_counts, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replaced(documents(spark, sf_dir), key=surrogates.DEMO_KEY)
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir))
 
@@ -37,6 +41,10 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judged(documents(spark, sf_dir))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gbt.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
@@ -51,9 +59,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_surrogates": op2_surrogates,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_secrets": op4_secrets,
     "op5_host_rules": op5_host_rules,
+    "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
     "op9_token_files": op9_token_files,
     "op10_packing": op10_packing,

@@ -15,26 +15,17 @@ import re
 import sys
 import types
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from halyard.llm.chunks import encoder, slices
+from halyard.llm.chunks import byte_letters, encoder, slices
 
 
 #: The tokenizer's white space, which is not quite Python's.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
-@lru_cache(maxsize=1)
-def byte_letters() -> dict[int, str]:
-    """The letters that byte-level vocabularies write bytes as: printable ones themselves, the others from 256 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(printable)]
-    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
-
-
 class PrefixTable:
     """Prefix counts for byte-level BPE without normalizer."""
 
@@ -172,15 +163,13 @@ def counted(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
         size = coder.dtype.itemsize
         for batch in batches:
             for at, texts in slices(batch.column(1)):
-                lists = [coder.chunks(t) for t in texts]
-                known = coder.known([x for x in lists if x is not None])
                 rows = []
-                for text, own in zip(texts, lists, strict=True):
-                    if own is None:
+                for text in texts:
+                    if (own := coder.chunks(text)) is None:
                         total = prefixes.text_counts(text)
                         rows.append((int(total[-1]), int(np.flatnonzero(total <= limit)[-1])))
                         continue
-                    sizes = np.fromiter(map(len, map(known.__getitem__, own)), np.int64, len(own)) // size
+                    sizes = np.fromiter(map(len, coder.ids(own)), np.int64, len(own)) // size
                     n = int(sizes.sum())
                     rows.append((n, len(text) if n <= limit else prefixes.fits(own, sizes, limit)))
                 tokens, fits = zip(*rows, strict=True)

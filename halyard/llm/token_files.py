@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm.chunks import encoder, slices
-from halyard.llm.common import checkpoint_dir
+from halyard.llm.common import checkpoint_dir, sized
 
 BLOCK, PERCENTILE, SEGMENT_IDS = 128, 90, 1 << 20
 MAGIC = b"HPF1"
@@ -176,7 +176,7 @@ def read(spark, place: str) -> DataFrame:
                 names = pa.array(table["doc_id"].astype(np.int64), mask=table["null"].astype(bool))
                 yield pa.RecordBatch.from_arrays([names, pa.array(begins + base), pa.array(table["n"].astype(np.int64)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    met = files.select("part", "segment", "data").join(first, ["part", "segment"]).select("first", "data")
+    met = files.select("part", "segment", "data").join(sized(first), ["part", "segment"]).select("first", "data")
     return met.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
