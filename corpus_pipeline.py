@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halyard.llm import host_rules, mixing
-from halyard.llm.common import checkpoint_dir
+from halyard.llm import host_rules, mixing, near_dup, packing, surrogates
+from halyard.llm.common import scratch
+from halyard.llm.queries import tokenizer
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,23 +16,41 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return host_rules.kept_documents(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return near_dup.deduplicated(docs)
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data give way to surrogates."""
+    return surrogates.replaced(docs, key=surrogates.DEMO_KEY).drop("n_entities")
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stand as often as the mix takes them."""
     return mixing.mixed_documents(docs)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, each with its place in a sequence."""
+    return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("private_data", private_data),
     ("source_mix", source_mix),
+    ("best_fit_packing", pack),
 ]
 
-#: Hash-drawn mixing and signatures have no SQL form; tests hold every stage against brute force instead.
+#: Hash-drawn mixing, surrogates and a tokenizer have no SQL form; tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    place = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    place = scratch(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{place}/{k}-{name}")
         docs = spark.read.parquet(path)

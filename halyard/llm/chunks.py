@@ -28,7 +28,7 @@ _CUT = {
     "words": r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+",
 }
 #: Distinct chunks kept in each of two generations, and characters cut at a time.
-GENERATION, SLICE = 400_000, 1_000_000
+GENERATION, SLICE = 500_000, 1_000_000
 
 
 @lru_cache(maxsize=1)
@@ -157,15 +157,26 @@ def encoder(path: str) -> ChunkEncoder:
     return kept.__dict__[path]
 
 
+def tidy() -> None:
+    """Give back what a task no longer holds; workers idle between tasks keep their caches only."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def slices(column, most: int = SLICE) -> Iterator[tuple[int, list[str]]]:
     """An Arrow column of texts a bounded number of characters at a time, nulls as empty texts: first row, texts."""
-    import pyarrow as pa
     import pyarrow.compute as pc
 
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(column):
         end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
-        yield at, column.slice(at, end - at).to_pylist()
+        yield at, [text or "" for text in column.slice(at, end - at).to_pylist()]
         at = end

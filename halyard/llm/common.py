@@ -2,33 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from halyard.plans.storage import checkpoint_dir, checkpointed, scratch
+
+__all__ = ["checkpoint_dir", "checkpointed", "scratch"]
+
 #: A word: a run of anything but ASCII white space (Java, RE2 and Python read it alike).
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="halyard-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 #: Rows of one or two numbers that a broadcast may hold; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -40,7 +27,7 @@ def sized(df: DataFrame) -> DataFrame:
 
 def kept_table(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: for wide rows of which later steps read parts."""
-    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -63,27 +50,3 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 def same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
     """Null-safe equality of two frames' columns."""
     return reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[c]) for c in columns))
-
-
-def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
-    """``df`` with the 0-based place of each row in the order of ``key``, nulls last, without a single-task window.
-
-    Rows are range-partitioned and sorted; each partition's first number is the sum of the sizes before it. Only a
-    row for each partition meets in one task. ``key`` should be unique for the numbers to be repeatable.
-    """
-    order = F.col(key).asc_nulls_last()
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = checkpointed(
-        df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id())
-    )
-    part, within = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    starts, total = [], 0
-    for p in sorted(sizes):
-        starts.append((p, total))
-        total += sizes[p]
-    if not starts:
-        return placed.withColumn(name, F.lit(0).cast("long")).drop("__at")
-    first = df.sparkSession.createDataFrame(starts, "__p long, __first long")
-    out = placed.withColumn("__p", part).join(F.broadcast(first), "__p")  # a row for each partition
-    return out.withColumn(name, F.col("__first") + within).drop("__p", "__first", "__at")

@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import WORD, checkpointed, numbered, same, uniform, union_all, whole_text
+from halyard.llm.common import WORD, checkpointed, same, uniform, union_all, whole_text
+from halyard.operators.sorting import number_records
 
 UNIT = "struct<ord:bigint,doc_id:bigint,idx:bigint,size:bigint,base:bigint,p:double,u:double>"
 
@@ -32,7 +33,7 @@ def shares(sources: DataFrame, weights: tuple[float, ...], most: float) -> DataF
     Weights follow the order of the names, repeating. Each round caps the sources that would be above and shares what
     is left among the others by weight; a round is one small aggregate.
     """
-    sources = numbered(sources, "source", "source_no")
+    sources = number_records(sources, F.col("source").asc_nulls_last(), name="source_no")
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("source_no") % len(weights) + 1).cast("int"))
     sources = checkpointed(sources.withColumn("weight", weight).withColumn("most", F.lit(float(most)) * F.col("source_size")))
     per_weight = F.col("most") / F.col("weight")

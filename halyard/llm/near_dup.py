@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, miss: float
     active = checkpointed(members.select(F.col("rep").alias("r")).distinct())
     named = docs.select("doc_id", "text").where("doc_id is not null").join(sized(active), F.col("doc_id") == F.col("r"), "left_semi")
     sets = kept_table(sets_of(named, k))
-    with_sets = lambda cells: cells.join(sets.withColumnRenamed("rep", "s"), F.col("rep") == F.col("s")).drop("s")
+    with_sets = lambda cells: cells.join(sets.withColumnRenamed("rep", "s").hint("merge"), F.col("rep") == F.col("s")).drop("s")
     links = checkpointed(cell_links(with_sets(small_cells(members)), percent, miss))
     if members.where(F.col("g") > CELL).limit(1).count():
         star = checkpointed(cell_links(with_sets(star_cells(members)), percent, miss))

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.llm.chunks import encoder, slices
+from halyard.llm.chunks import encoder, slices, tidy
 from halyard.llm.common import checkpointed
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -54,6 +54,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, wi
                 columns = [names.slice(at, len(texts)).take(pa.array(rows, pa.int64())), pa.array((place // capacity).astype(np.int32)), pa.array(place), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())]
                 extra = [pa.array(kept, pa.list_(pa.int64()))] if with_ids else []
                 yield pa.RecordBatch.from_arrays(columns + extra, ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
+        tidy()
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES + ", ids array<long>" * with_ids)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halyard.llm import credentials, host_rules, mixing, near_dup, packing, quality_gbt, surrogates, token_counts, token_files
+from halyard.llm import credentials, host_rules, mixing, near_dup, packing, quality_gbt, search, surrogates, token_counts, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+def op8_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return search.top_k(docs, docs.where("doc_id % 50 = 0"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_host_rules": op5_host_rules,
     "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
+    "op8_search": op8_search,
     "op9_token_files": op9_token_files,
     "op10_packing": op10_packing,
 }

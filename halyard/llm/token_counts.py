@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from halyard.llm.chunks import byte_letters, encoder, slices
+from halyard.llm.chunks import byte_letters, encoder, slices, tidy
 
 
 #: The tokenizer's white space, which is not quite Python's.
@@ -176,6 +176,7 @@ def counted(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
                 names = batch.column(0).slice(at, len(texts))
                 n_bytes = pa.array([len(t.encode()) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([names, n_bytes, pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens]), pa.array(fits, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "fits"])
+        tidy()
 
     return docs.select("doc_id", "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fits long")
 

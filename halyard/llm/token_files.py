@@ -13,7 +13,6 @@ payload u32; payloads, each a block's packed values; exceptions, block by block:
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,8 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.chunks import encoder, slices
-from halyard.llm.common import checkpoint_dir, sized
+from halyard.llm.chunks import encoder, slices, tidy
+from halyard.llm.common import scratch, sized
 
 BLOCK, PERCENTILE, SEGMENT_IDS = 128, 90, 1 << 20
 MAGIC = b"HPF1"
@@ -48,9 +47,7 @@ def pack(ids: np.ndarray) -> tuple[bytes, int]:
     payload = np.zeros(int(size.sum()), np.uint8)
     for w in np.unique(width[width > 0]):
         own = np.flatnonzero(width == w)
-        kind, top = (">u2", 16) if w <= 16 else (">u4", 32)
-        raw = np.unpackbits((rest[own] & np.uint32((1 << int(w)) - 1)).astype(kind).view(np.uint8).reshape(len(own), BLOCK, top // 8), axis=2)
-        packed = np.packbits(raw[:, :, top - w :].reshape(len(own), -1), axis=1)
+        packed = packed_rows(rest[own] & np.uint32((1 << int(w)) - 1), int(w))
         payload[(start[own][:, None] + np.arange(packed.shape[1])).ravel()] = packed.ravel()
     index = np.empty(n, _INDEX)
     index["low"], index["width"], index["start"] = low, width, start
@@ -58,6 +55,38 @@ def pack(ids: np.ndarray) -> tuple[bytes, int]:
     return index.tobytes() + payload.tobytes() + places.astype(np.uint8).tobytes() + over[blocks, places].astype("<u4").tobytes(), n
 
 
+def packed_rows(values: np.ndarray, w: int) -> np.ndarray:
+    """Rows of ``BLOCK`` values of ``w`` bits as bytes, the first bits first: 8 values make w bytes."""
+    if w > 16:
+        raw = np.unpackbits(values.astype(">u4").view(np.uint8).reshape(len(values), BLOCK, 4), axis=2)
+        return np.packbits(raw[:, :, 32 - w :].reshape(len(values), -1), axis=1)
+    v = values.reshape(len(values), BLOCK // 8, 2, 4).astype(np.uint64)
+    four = (v[..., 0] << np.uint64(3 * w)) | (v[..., 1] << np.uint64(2 * w)) | (v[..., 2] << np.uint64(w)) | v[..., 3]
+    two = np.empty(four.shape, ">u8")  # the 8 values' bits at the end of 16 bytes
+    two[..., 0] = four[..., 0] if w == 16 else four[..., 0] >> np.uint64(64 - 4 * w)
+    two[..., 1] = four[..., 1] if w == 16 else (four[..., 0] << np.uint64(4 * w)) | four[..., 1]
+    return two.view(np.uint8).reshape(len(values), BLOCK // 8, 16)[:, :, 16 - w :].reshape(len(values), -1)
+
+
+def unpacked_rows(raw: np.ndarray, w: int) -> np.ndarray:
+    """The rows that ``packed_rows`` made into bytes."""
+    if w > 16:
+        wide = np.zeros((len(raw), BLOCK, 32), np.uint8)
+        wide[:, :, 32 - w :] = np.unpackbits(raw, axis=1).reshape(len(raw), BLOCK, w)
+        return np.packbits(wide, axis=2).reshape(len(raw), -1).view(">u4").astype(np.uint32)
+    wide = np.zeros((len(raw), BLOCK // 8, 16), np.uint8)
+    wide[:, :, 16 - w :] = raw.reshape(len(raw), BLOCK // 8, w)
+    two = wide.view(">u8").astype(np.uint64)
+    four = two.copy()
+    if w < 16:
+        four[..., 0] = (two[..., 0] << np.uint64(64 - 4 * w)) | (two[..., 1] >> np.uint64(4 * w))
+    out = np.empty((*two.shape, 4), np.uint32)
+    mask = np.uint64((1 << w) - 1)
+    for k in range(4):
+        out[..., k] = (four >> np.uint64((3 - k) * w)) & mask
+    return out.reshape(len(raw), -1)
+
+
 _INDEX = np.dtype([("low", "<u4"), ("width", "u1"), ("exceptions", "<u2"), ("start", "<u4")])
 _DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n", "<u4")])
 
@@ -82,12 +111,8 @@ def unpack(data: bytes, n_blocks: int, n_ids: int, first: int = 0, last: int | N
     out = np.zeros((len(own), BLOCK), np.uint32)
     for w in np.unique(own["width"][own["width"] > 0]):
         rows = np.flatnonzero(own["width"] == w)
-        kind, top = (">u2", 16) if w <= 16 else (">u4", 32)
         size = int(w) * (BLOCK // 8)
-        raw = np.unpackbits(payload[own["start"][rows].astype(np.int64)[:, None] + np.arange(size)], axis=1).reshape(len(rows), BLOCK, w)
-        wide = np.zeros((len(rows), BLOCK, top), np.uint8)
-        wide[:, :, top - w :] = raw
-        out[rows] = np.packbits(wide, axis=2).reshape(len(rows), -1).view(kind).astype(np.uint32)
+        out[rows] = unpacked_rows(payload[own["start"][rows].astype(np.int64)[:, None] + np.arange(size)], int(w))
     lo, hi = int(ends[first - 1]) if first else 0, int(ends[last - 1]) if last else 0
     blocks = np.repeat(np.arange(len(own)), counts[first:last])
     width = own["width"][blocks].astype(np.uint32)
@@ -147,6 +172,7 @@ def write(docs: DataFrame, path: str, out: str, end_id: int = 2, parts: int | No
                         names, counts, raws, n, number = [], [], [], 0, number + 1
         if names:
             yield closed()
+        tidy()
 
     keyed = docs.select("doc_id", "text").withColumn("at", F.monotonically_increasing_id())
     ranged = keyed.repartitionByRange(parts, "doc_id", "at").sortWithinPartitions("doc_id", "at")
@@ -182,6 +208,6 @@ def read(spark, place: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     """Write the files to the shared folder and read them back."""
-    out = f"{checkpoint_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    out = scratch(docs.sparkSession, "tokens")
     write(docs, path, out, end_id)
     return read(docs.sparkSession, out)
