@@ -24,6 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from halyard.llm.chunks import slices, tidy
 from halyard.llm.common import checkpointed, kept_table, sized
 from halyard.llm.components import components
 from halyard.llm.shingles import Signer, set_print, shingle_set
@@ -53,14 +54,12 @@ def signed(docs: DataFrame, k: int = 5) -> DataFrame:
 
         signer = Signer(BANDS, ROWS, HASHES)
         for batch in batches:
-            n, prints, bands = [], [], []
-            for text in batch.column(1):
-                own = shingle_set((text.as_py() or "").encode(), k)
-                n.append(len(own))
-                prints.append(set_print(own) if len(own) else (0, 0))
-                bands.append(signer.sign(own)[0] if len(own) else None)
-            f1, f2 = zip(*prints, strict=True) if prints else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "f1", "f2", "bands"])
+            for at, texts in slices(batch.column(1)):
+                own = [shingle_set(text.encode(), k) for text in texts]
+                f1, f2 = zip(*(set_print(x) if len(x) else (0, 0) for x in own), strict=True)
+                bands = [signer.sign(x)[0] if len(x) else None for x in own]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(x) for x in own], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "f1", "f2", "bands"])
+        tidy()
 
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, f1 long, f2 long, bands array<long>")
 
@@ -73,8 +72,10 @@ def sets_of(docs: DataFrame, k: int = 5) -> DataFrame:
 
         signer = Signer(BANDS, ROWS, HASHES)
         for batch in batches:
-            own = [shingle_set((text.as_py() or "").encode(), k) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signer.sign(x)[1] for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], ["rep", "sig", "shingles"])
+            for at, texts in slices(batch.column(1)):
+                own = [shingle_set(text.encode(), k) for text in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([signer.sign(x)[1] for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], ["rep", "sig", "shingles"])
+        tidy()
 
     return docs.select("doc_id", "text").mapInArrow(sets, "rep long, sig binary, shingles binary")
 
@@ -135,6 +136,7 @@ def cell_links(cells: DataFrame, percent: int, miss: float) -> DataFrame:
             yield out(links)
         if len(rows) > 1:
             yield out(list(joined(rows)))
+        tidy()
 
     parts = max(1, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = cells.repartition(parts, "cell").sortWithinPartitions("cell", "rep")
@@ -212,7 +214,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, miss: float
     active = checkpointed(members.select(F.col("rep").alias("r")).distinct())
     named = docs.select("doc_id", "text").where("doc_id is not null").join(sized(active), F.col("doc_id") == F.col("r"), "left_semi")
     sets = kept_table(sets_of(named, k))
-    with_sets = lambda cells: cells.join(sets.withColumnRenamed("rep", "s").hint("merge"), F.col("rep") == F.col("s")).drop("s")
+    with_sets = lambda cells: sets.withColumnRenamed("rep", "s").join(sized(checkpointed(cells)), F.col("rep") == F.col("s")).drop("s")
     links = checkpointed(cell_links(with_sets(small_cells(members)), percent, miss))
     if members.where(F.col("g") > CELL).limit(1).count():
         star = checkpointed(cell_links(with_sets(star_cells(members)), percent, miss))
