@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import SPACE, WORD, checkpointed, whole_text
+from halyard.llm.common import SPACE, WORD, checkpointed, kept_table, sized, whole_text
 
 #: Rules and limits of the production run.
 MIN_WORDS, REPEAT_PERCENT, HOST_LIMIT = 50, 50, 0.8
@@ -96,9 +96,14 @@ def judged(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
-    """The rows of ``docs`` that no rule and no host verdict rejects; columns as they were. No text is shuffled."""
-    hosts = host_rates(checkpointed(figures(docs)), host_limit=host_limit).where("host_rejected").select(F.col("host").alias("__host"))
-    names = docs.columns
-    own = figures(docs.withColumn("__all", F.struct(*(docs[c] for c in names))), keep=("__all",))
-    good = own.where(~F.col("base_failed")).select("__all.*")
-    return good.join(hosts, good["source"].eqNullSafe(hosts["__host"]), "left_anti").select(*names)
+    """The rows of ``docs`` that no rule and no host verdict rejects; columns as they were.
+
+    One pass over the texts writes the rows that no rule rejects, and of others the host alone; then the hosts' rates
+    are read from that table, and rejected hosts' rows are left out of it. No text is shuffled.
+    """
+    judged_rows = figures(docs.withColumn("__row", F.struct(*docs.columns)), keep=("__row",))
+    good = F.when(~F.col("base_failed"), F.col("__row")).alias("row")
+    table = kept_table(judged_rows.select(F.col("__row.source").alias("source"), "base_failed", good))
+    hosts = host_rates(table, host_limit=host_limit).where("host_rejected").select(F.col("host").alias("rejected"))
+    left = table.where(~F.col("base_failed")).join(sized(checkpointed(hosts)), F.col("source").eqNullSafe(F.col("rejected")), "left_anti")
+    return left.select("row.*")
