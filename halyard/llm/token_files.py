@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm.chunks import encoder, slices, tidy
-from halyard.llm.common import scratch, sized
+from halyard.llm.common import scratch
 
 BLOCK, PERCENTILE, SEGMENT_IDS = 128, 90, 1 << 20
 MAGIC = b"HPF1"
-ROWS = "part int, segment long, n_docs long, n_ids long, data binary"
+ROWS = "part int, segment long, at long, n_docs long, n_ids long, data binary"
 
 
 def pack(ids: np.ndarray) -> tuple[bytes, int]:
@@ -37,22 +37,29 @@ def pack(ids: np.ndarray) -> tuple[bytes, int]:
     values = values.reshape(n, BLOCK)
     low = values.min(axis=1)
     rest = values - low[:, None]
-    at = BLOCK * PERCENTILE // 100 - 1
-    width = bits(np.partition(rest, at, axis=1)[:, at])
-    over = rest >> np.minimum(width, 31)[:, None].astype(np.uint32) if n else rest
-    over[width == 32] = 0
+    width = bits(rest.max(axis=1)) if n else np.zeros(0, np.uint8)
+    open_ = np.flatnonzero(width)
+    while len(open_):  # one bit less while that leaves few enough values over
+        less = (width[open_] - 1).astype(np.uint32)
+        few = (rest[open_] >> less[:, None] != 0).sum(axis=1) <= BLOCK - BLOCK * PERCENTILE // 100
+        open_ = open_[few]
+        width[open_] -= 1
+        open_ = open_[width[open_] > 0]
+    over = np.zeros_like(rest)
+    narrow = np.flatnonzero(width < 32)
+    over[narrow] = rest[narrow] >> width[narrow, None].astype(np.uint32)
     blocks, places = np.nonzero(over)
-    size = width.astype(np.int64) * (BLOCK // 8)
-    start = np.cumsum(size) - size
-    payload = np.zeros(int(size.sum()), np.uint8)
-    for w in np.unique(width[width > 0]):
+    start, payload, at = np.zeros(n, np.int64), [], 0
+    for w in np.unique(width[width > 0]):  # payloads of one width stand together
         own = np.flatnonzero(width == w)
         packed = packed_rows(rest[own] & np.uint32((1 << int(w)) - 1), int(w))
-        payload[(start[own][:, None] + np.arange(packed.shape[1])).ravel()] = packed.ravel()
+        start[own] = at + np.arange(len(own)) * packed.shape[1]
+        at += packed.size
+        payload.append(packed.tobytes())
     index = np.empty(n, _INDEX)
     index["low"], index["width"], index["start"] = low, width, start
     index["exceptions"] = np.bincount(blocks, minlength=n)
-    return index.tobytes() + payload.tobytes() + places.astype(np.uint8).tobytes() + over[blocks, places].astype("<u4").tobytes(), n
+    return index.tobytes() + b"".join(payload) + places.astype(np.uint8).tobytes() + over[blocks, places].astype("<u4").tobytes(), n
 
 
 def packed_rows(values: np.ndarray, w: int) -> np.ndarray:
@@ -111,8 +118,12 @@ def unpack(data: bytes, n_blocks: int, n_ids: int, first: int = 0, last: int | N
     out = np.zeros((len(own), BLOCK), np.uint32)
     for w in np.unique(own["width"][own["width"] > 0]):
         rows = np.flatnonzero(own["width"] == w)
-        size = int(w) * (BLOCK // 8)
-        out[rows] = unpacked_rows(payload[own["start"][rows].astype(np.int64)[:, None] + np.arange(size)], int(w))
+        size, begins = int(w) * (BLOCK // 8), own["start"][rows].astype(np.int64)
+        if (np.diff(begins) == size).all():
+            raw = payload[begins[0] : begins[-1] + size].reshape(len(rows), size)
+        else:
+            raw = payload[begins[:, None] + np.arange(size)]
+        out[rows] = unpacked_rows(raw, int(w))
     lo, hi = int(ends[first - 1]) if first else 0, int(ends[last - 1]) if last else 0
     blocks = np.repeat(np.arange(len(own)), counts[first:last])
     width = own["width"][blocks].astype(np.uint32)
@@ -151,13 +162,13 @@ def write(docs: DataFrame, path: str, out: str, end_id: int = 2, parts: int | No
         import pyarrow as pa
         from pyspark import TaskContext
 
-        coder, part, number = encoder(path), TaskContext.get().partitionId(), 0
+        coder, part, number, total = encoder(path), TaskContext.get().partitionId(), 0, 0
         names, counts, raws, n = [], [], [], 0
 
         def closed() -> pa.RecordBatch:
             raw = np.frombuffer(b"".join(raws), "<u4")
-            row = [[part], [number], [len(names)], [len(raw)], [segment(names, counts, raw)]]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "segment", "n_docs", "n_ids", "data"])
+            row = [[part], [number], [total], [len(names)], [len(raw)], [segment(names, counts, raw)]]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "segment", "at", "n_docs", "n_ids", "data"])
 
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
@@ -169,7 +180,8 @@ def write(docs: DataFrame, path: str, out: str, end_id: int = 2, parts: int | No
                     n += counts[-1]
                     if n >= SEGMENT_IDS:
                         yield closed()
-                        names, counts, raws, n, number = [], [], [], 0, number + 1
+                        total, number = total + n, number + 1
+                        names, counts, raws, n = [], [], [], 0
         if names:
             yield closed()
         tidy()
@@ -181,13 +193,13 @@ def write(docs: DataFrame, path: str, out: str, end_id: int = 2, parts: int | No
 
 def read(spark, place: str) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32, decoded from its blocks."""
-    files = spark.read.parquet(place)
-    sizes = files.select("part", "segment", "n_ids").orderBy("part", "segment").collect()  # a row for about a million ids
-    starts, at = [], 0
+    files = spark.read.schema(ROWS).parquet(place)
+    sizes = files.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # a row for each part
+    starts, total = [], 0
     for r in sizes:
-        starts.append((r["part"], r["segment"], at))
-        at += r["n_ids"]
-    first = spark.createDataFrame(starts, "part int, segment long, first long")
+        starts.append((r["part"], total))
+        total += r["n"]
+    first = spark.createDataFrame(starts, "part int, before long")
 
     def decode(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -202,7 +214,7 @@ def read(spark, place: str) -> DataFrame:
                 names = pa.array(table["doc_id"].astype(np.int64), mask=table["null"].astype(bool))
                 yield pa.RecordBatch.from_arrays([names, pa.array(begins + base), pa.array(table["n"].astype(np.int64)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    met = files.select("part", "segment", "data").join(sized(first), ["part", "segment"]).select("first", "data")
+    met = files.select("part", "at", "data").join(F.broadcast(first), "part").select((F.col("before") + F.col("at")).alias("first"), "data")
     return met.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
