@@ -63,7 +63,9 @@ def run(
     graph: Graph, program: VertexProgram, max_steps: int = 100_000, snapshots: Snapshots | None = None, resume: bool = False, fail_after: int | None = None
 ) -> RunResult:
     """Run until no vertex is active and no message was sent, a vertex forces the end, or ``max_steps`` are done."""
-    edges = graph.edges.repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
+    # A fixed number, so that every step's join finds the edges partitioned and sorted and moves the state alone.
+    parts = max(1, int(graph.edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    edges = graph.edges.repartition(parts, "src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _run(graph, edges, program, max_steps, snapshots, resume, fail_after)
     finally:
