@@ -7,9 +7,12 @@ not hold for, and tokenizers of another make, go through the library whole.
 
 from __future__ import annotations
 
+import ctypes
 import json
+import os
 import re
 import sys
+import threading
 import types
 from array import array
 from collections.abc import Iterator
@@ -27,7 +30,9 @@ _CUT = {
     "blanks": r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+| ",
     "words": r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+",
 }
-#: Distinct chunks kept in each of two generations, and characters cut at a time.
+#: Seconds after which an idle worker drops its caches; distinct chunks kept in each of two generations; characters
+#: cut at a time.
+IDLE_S = 2.0
 GENERATION, SLICE = 500_000, 1_000_000
 
 
@@ -109,6 +114,10 @@ class ChunkEncoder:
             self.new = Known(self._ids, self.new)
         return map(self.new.__getitem__, chunks)
 
+    def forget(self) -> None:
+        self.new = Known(self._ids)
+        self.short = {}
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian numbers of ``dtype``."""
         for text in texts:
@@ -146,28 +155,45 @@ def kind_of(spec: dict) -> str:
     return "whole"
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """This process's encoder for ``path``; it outlives a task, as Python workers do."""
-    kept = sys.modules.setdefault("_halyard_encoders", types.ModuleType("_halyard_encoders"))
-    if path not in kept.__dict__:
-        import os
-
+def kept_by_worker(kind: str, path: str, make):
+    """``make(path)``, kept by this Python worker from task to task; what it caches goes when the worker stays idle."""
+    kept = sys.modules.setdefault(f"_halyard_{kind}", types.ModuleType(f"_halyard_{kind}")).__dict__
+    if (timer := kept.pop("timer", None)) is not None:
+        timer.cancel()
+    made = kept.setdefault("made", {})
+    if path not in made:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        kept.__dict__[path] = ChunkEncoder(path)
-    return kept.__dict__[path]
+        made[path] = make(path)
+    return made[path]
 
 
-def tidy() -> None:
-    """Give back what a task no longer holds; workers idle between tasks keep their caches only."""
-    import ctypes
+def encoder(path: str) -> ChunkEncoder:
+    return kept_by_worker("encoders", path, ChunkEncoder)
 
+
+def tidy() -> None:
+    """At a task's end: give back free memory, and soon the caches too unless another task comes."""
     import pyarrow as pa
 
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # not every C library has it
-        pass
+    def trim() -> None:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not every C library has it
+            pass
+
+    def forget(kept: dict) -> None:
+        for x in kept["made"].values():
+            x.forget()
+        trim()
+
+    trim()
+    for name in ("_halyard_encoders", "_halyard_prefixes"):
+        if name in sys.modules:
+            kept = sys.modules[name].__dict__
+            timer = kept["timer"] = threading.Timer(IDLE_S, forget, [kept])
+            timer.daemon = True
+            timer.start()
 
 
 def slices(column, most: int = SLICE) -> Iterator[tuple[int, list[str]]]:

@@ -12,14 +12,12 @@ from __future__ import annotations
 
 import json
 import re
-import sys
-import types
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from halyard.llm.chunks import byte_letters, encoder, slices, tidy
+from halyard.llm.chunks import byte_letters, encoder, kept_by_worker, slices, tidy
 
 
 #: The tokenizer's white space, which is not quite Python's.
@@ -40,7 +38,11 @@ class PrefixTable:
         self.longest = max(map(len, self.vocab))
         self.apart: dict[tuple[bytes, bytes], bool] = {}
         self.words: dict[bytes, list[int]] = {}
-        self.coder = encoder(path)
+        self.path = path
+
+    @property
+    def coder(self):
+        return encoder(self.path)
 
     def merged(self, word: bytes) -> list[bytes]:
         parts = [word[i : i + 1] for i in range(len(word))]
@@ -62,7 +64,7 @@ class PrefixTable:
     def stays(self, a: bytes, b: bytes) -> bool:
         """Whether merging leaves tokens ``a`` and ``b``, side by side, as they are."""
         if (a, b) not in self.apart:
-            if len(self.apart) > 500_000:
+            if len(self.apart) > 200_000:
                 self.apart.clear()
             self.apart[a, b] = self.merged(a + b) == [a, b]
         return self.apart[a, b]
@@ -133,6 +135,9 @@ class PrefixTable:
         ends = np.cumsum([len(c.encode()) for c in word]).tolist()
         return [0, *(count[e] for e in ends)]
 
+    def forget(self) -> None:
+        self.apart, self.words = {}, {}
+
     def fits(self, chunks: list[str], sizes: np.ndarray, limit: int) -> int:
         """Letters of the longest prefix of the chunks' text with at most ``limit`` tokens."""
         total = np.cumsum(sizes)
@@ -146,10 +151,7 @@ class PrefixTable:
 
 
 def table(path: str) -> PrefixTable:
-    kept = sys.modules.setdefault("_halyard_prefixes", types.ModuleType("_halyard_prefixes"))
-    if path not in kept.__dict__:
-        kept.__dict__[path] = PrefixTable(path)
-    return kept.__dict__[path]
+    return kept_by_worker("prefixes", path, PrefixTable)
 
 
 def counted(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
