@@ -30,7 +30,7 @@ _CUT = {
     "blanks": r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+| ",
     "words": r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+",
 }
-#: Seconds after which an idle worker drops its caches; distinct chunks kept in each of two generations; characters
+#: Seconds after which an idle worker drops its encoders; distinct chunks kept in each of two generations; characters
 #: cut at a time.
 IDLE_S = 2.0
 GENERATION, SLICE = 500_000, 1_000_000
@@ -45,7 +45,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class ChunkEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, generation: int | None = None):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -64,7 +64,7 @@ class ChunkEncoder:
         self.latin = str.maketrans({chr(c): "".join(letters[b] for b in chr(c).encode()) for c in range(256)})
         self.tokenize = self.model.tokenize
         self.cut, self.short = re.compile(_CUT[self.kind]) if self.kind in _CUT else None, {}
-        self.new = Known(self._ids)
+        self.new, self.generation = Known(self._ids), generation or GENERATION
 
     def chunks(self, text: str) -> list[str] | None:
         """The text's chunks, or None where it must stay whole."""
@@ -110,14 +110,10 @@ class ChunkEncoder:
 
     def ids(self, chunks: list[str]) -> Iterator[bytes]:
         """Each chunk's ids."""
-        if len(self.new) > GENERATION:
+        if len(self.new) > self.generation:
             self.new = Known(self._ids, self.new)
         return map(self.new.__getitem__, chunks)
 
-    def forget(self) -> None:
-        self.new = Known(self._ids)
-        self.short = {}
-
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian numbers of ``dtype``."""
         for text in texts:
@@ -156,7 +152,7 @@ def kind_of(spec: dict) -> str:
 
 
 def kept_by_worker(kind: str, path: str, make):
-    """``make(path)``, kept by this Python worker from task to task; what it caches goes when the worker stays idle."""
+    """``make(path)``, kept by this Python worker from task to task; it goes when the worker stays idle."""
     kept = sys.modules.setdefault(f"_halyard_{kind}", types.ModuleType(f"_halyard_{kind}")).__dict__
     if (timer := kept.pop("timer", None)) is not None:
         timer.cancel()
@@ -167,8 +163,8 @@ def kept_by_worker(kind: str, path: str, make):
     return made[path]
 
 
-def encoder(path: str) -> ChunkEncoder:
-    return kept_by_worker("encoders", path, ChunkEncoder)
+def encoder(path: str, generation: int | None = None) -> ChunkEncoder:
+    return kept_by_worker("encoders", path, lambda p: ChunkEncoder(p, generation))
 
 
 def tidy() -> None:
@@ -183,8 +179,7 @@ def tidy() -> None:
             pass
 
     def forget(kept: dict) -> None:
-        for x in kept["made"].values():
-            x.forget()
+        kept["made"] = {}
         trim()
 
     trim()

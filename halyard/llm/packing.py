@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from halyard.llm.chunks import encoder, slices, tidy
 from halyard.llm.common import checkpointed
 
+#: Chunks that a worker keeps: other stages' workers may be idle beside it.
+GENERATION = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -34,7 +36,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, wi
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        coder = encoder(path)
+        coder = encoder(path, GENERATION)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             names = batch.column(0)
@@ -117,15 +119,15 @@ def slots(bins: list[tuple[list[tuple[int, int]], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def ranked(found: DataFrame, counts: dict[int, int], part: int = 20_000) -> DataFrame:
+def ranked(found: DataFrame, counts: dict[int, int], part: int = 2_000) -> DataFrame:
     """``found`` with each row's number within its length. A length's rows are dealt into parts of about ``part``."""
-    hot = {k: -(-n // part) for k, n in counts.items() if n > part}
+    hot = [(k, -(-n // part)) for k, n in counts.items() if n > part]
     parts = F.lit(1)
-    if hot:
-        table = F.create_map(*(F.lit(x) for kv in hot.items() for x in kv))
-        parts = F.coalesce(F.try_element_at(table, F.col("length").cast("int")), F.lit(1))
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), parts).cast("int"))
-    salted = checkpointed(salted) if hot else salted
+    if hot:  # a row for each length at most
+        table = found.sparkSession.createDataFrame(hot, "l long, parts long")
+        found, parts = found.join(F.broadcast(table), F.col("length") == F.col("l"), "left"), F.coalesce("parts", F.lit(1))
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), parts))
+    salted = checkpointed(salted.drop("l", "parts")) if hot else salted
     own = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")).cast("long") - 1)
     if not hot:
         return own.drop("salt")

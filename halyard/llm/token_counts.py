@@ -135,9 +135,6 @@ class PrefixTable:
         ends = np.cumsum([len(c.encode()) for c in word]).tolist()
         return [0, *(count[e] for e in ends)]
 
-    def forget(self) -> None:
-        self.apart, self.words = {}, {}
-
     def fits(self, chunks: list[str], sizes: np.ndarray, limit: int) -> int:
         """Letters of the longest prefix of the chunks' text with at most ``limit`` tokens."""
         total = np.cumsum(sizes)
