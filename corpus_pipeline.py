@@ -23,7 +23,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data give way to surrogates."""
-    return surrogates.replaced(docs, key=surrogates.DEMO_KEY).drop("n_entities")
+    return surrogates.replaced(docs, key=surrogates.DEMO_KEY, count=None)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ words take nothing. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.llm.common import WORD, checkpointed, same, uniform, union_all, whole_text
@@ -131,25 +131,19 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Rows that share doc_id, source and size are numbered by their text's hash; others need no window.
     """
     keys = ["doc_id", "source", "size"]
-    sized = docs.withColumn("size", word_count()) if "size" not in docs.columns else docs.withColumn("__size", F.col("size")).withColumn("size", word_count())
-    plan = checkpointed(mix(sized.select(*keys), **options).select(*keys, "idx", "copies"))
-    multiple = plan.where("idx > 0").select(*keys).distinct()
-    once = plan.join(multiple, same(plan, multiple, keys), "left_anti").where("copies > 0").drop("idx")
-    out = [_repeated(sized, once, keys)]
+    rows = docs.select("doc_id", "source", word_count().alias("size"), F.struct(*docs.columns).alias("row"))
+    plan = checkpointed(mix(rows.select(*keys), **options).select(*keys, "idx", "copies"))
+    multiple = checkpointed(plan.where("idx > 0").select(*keys).distinct())
+    once = plan.join(multiple, same(plan, multiple, keys), "left_anti").drop("idx")
+    out = _repeated(rows, once, keys)
     if multiple.limit(1).count():
-        from pyspark.sql import Window
-
-        order = Window.partitionBy(*keys).orderBy(F.xxhash64(whole_text()))
-        twins = sized.join(multiple, same(sized, multiple, keys), "left_semi").withColumn("idx", (F.row_number().over(order) - 1).cast("long"))
-        many = plan.where("copies > 0")
-        out.append(_repeated(twins, many, [*keys, "idx"]).drop("idx"))
-    back = [F.col("__size").alias(c) if c == "size" else F.col(c) for c in docs.columns]
-    return union_all(out).select(*back)
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64(whole_text("row.text")))
+        twins = rows.join(multiple, same(rows, multiple, keys), "left_semi").withColumn("idx", (F.row_number().over(order) - 1).cast("long"))
+        out = out.unionByName(_repeated(twins, plan, [*keys, "idx"]))
+    return out
 
 
 def _repeated(rows: DataFrame, plan: DataFrame, keys: list[str]) -> DataFrame:
-    plan = plan.select(*(F.col(k).alias(f"__{k}_") for k in keys), F.col("copies").alias("__copies"))
-    on = [rows[k].eqNullSafe(plan[f"__{k}_"]) for k in keys]
-    met = rows.join(plan, on)
-    again = met.withColumn("__again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return again.drop("__again", "__copies", *(f"__{k}_" for k in keys))
+    plan = plan.where("copies > 0").select(*(F.col(k).alias(f"{k}_") for k in keys), "copies")
+    met = rows.join(plan, [rows[k].eqNullSafe(plan[f"{k}_"]) for k in keys])
+    return met.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("time")).select("row.*")

@@ -27,10 +27,11 @@ FEMALE_CYRILLIC = ("Анна", "Вера", "Дарья", "Елена", "Ирин
 MALE_CYRILLIC = ("Антон", "Борис", "Виктор", "Денис", "Иван", "Лев", "Максим", "Олег", "Павел", "Сергей")
 FEMALE_TITLES, MALE_TITLES = "Mrs|Ms|Miss|Mme|Madame|Frau|Señora|Sra|Госпожа", "Mr|Mister|Monsieur|Herr|Señor|Sr|Господин"
 
-MAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"
+# Parts of an address have their greatest lengths, so that long runs of letters cost no more than others.
+MAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,20}[A-Za-z]{2,24}"
 ADDRESS = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9A-Za-z.+-])[0-9](?:[0-9]{12,18}|[0-9]{3}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7})(?![0-9A-Za-z]|[.-][0-9])"
-PHONE = r"(?<![0-9A-Za-z+.-])(?:\+[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z]|[.-][0-9])|(?<![0-9A-Za-z+.-])\+[1-9][0-9]{0,2}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9A-Za-z]|[.-][0-9])"
+PHONE = r"(?<![0-9A-Za-z+.-])(?:\+[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9A-Za-z]|[.-][0-9])|(?<![0-9A-Za-z+.-])\+[1-9][0-9]{0,2}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9A-Za-z]|[.-][0-9])"
 NAME = rf"(?<![\p{{L}}])(?:{FEMALE_TITLES}|{MALE_TITLES})\.?\x20\p{{Lu}}\p{{Ll}}+(?:\x20\p{{Lu}}\p{{Ll}}+)?"
 ENTITY = f"{MAIL}|{ADDRESS}|{CARD}|{PHONE}|{NAME}"
 MIGHT = rf"@|[0-9][0-9 ().-]{{5}}|(?:{FEMALE_TITLES}|{MALE_TITLES})\.?\x20\p{{Lu}}"
@@ -118,24 +119,33 @@ def surrogates(entities: DataFrame, key: str, rounds: int = 50) -> DataFrame:
     raise ValueError("surrogates ran out; widen the names")
 
 
-def replaced(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with surrogates for entities, and n_entities, the number of places replaced."""
-    text = F.col("text")
-    rowkey = [F.xxhash64(text).alias("h"), F.length(text).alias("l")]
-    hits = checkpointed(docs.select(*rowkey, found(whole_text()).alias("m")).where(F.size("m") > 0))
-    each = hits.select("h", "l", F.explode(F.array_distinct("m")).alias("entity")).distinct()
+def replaced(docs: DataFrame, key: str, count: str | None = "n_entities") -> DataFrame:
+    """``docs`` with surrogates for entities, and ``count``, the number of places replaced, instead of any such column."""
+    names = [c for c in docs.columns if c != count]
+    rows = docs.select(F.struct(*names).alias("row"))
+    text = F.col("row.text")
+    some = F.coalesce(text.rlike(MIGHT), F.lit(False))
+    hit = F.when(some, F.size(found(text)) > 0).otherwise(False)
+    print_ = [F.xxhash64(text), F.length(text)]
+    hits = rows.where(some).select(print_[0].alias("h"), print_[1].alias("l"), F.explode(F.array_distinct(found(text))).alias("entity"))
+    each = checkpointed(hits.distinct())
     table = checkpointed(surrogates(each.select(kind(F.col("entity")).alias("kind"), "entity"), key)).withColumnRenamed("entity", "e")
     pairs = each.join(table, F.col("entity") == F.col("e")).groupBy("h", "l").agg(F.collect_list(F.struct("entity", "surrogate")).alias("pairs"))
-    pairs = checkpointed(pairs.withColumnsRenamed({"h": "__h", "l": "__l"}))
-    some = F.coalesce(text.rlike(MIGHT), F.lit(False)) & (F.size(F.coalesce(found(text), F.array().cast("array<string>"))) > 0)
-    plain = docs.where(~some).withColumn("n_entities", F.lit(0).cast("long"))
-    met = docs.where(some).join(pairs, (F.xxhash64(text) == F.col("__h")) & (F.length(text) == F.col("__l")), "left")
+    met = rows.where(hit).join(checkpointed(pairs), (print_[0] == F.col("h")) & (print_[1] == F.col("l")), "left")
     mapping = F.map_from_entries(F.coalesce("pairs", F.array().cast(PAIRS)))
-    matches, pieces = found(text), F.split(text, ENTITY, -1)
-    with_map = F.transform(F.array(F.struct(mapping.alias("m"), matches.alias("f"))), lambda x: F.transform(x["f"], lambda e: F.struct(F.coalesce(F.try_element_at(x["m"], e), e).alias("new"), F.try_element_at(x["m"], e).isNotNull().alias("hit"))))[0]
-    joined = F.array_join(F.zip_with(pieces, F.col("__new"), lambda p, m: F.concat(p, F.coalesce(m["new"], F.lit("")))), "")
-    changed = met.withColumn("__new", with_map).withColumn("__text", joined)
-    changed = changed.withColumn("n_entities", F.size(F.filter("__new", lambda m: m["hit"])).cast("long"))
-    new_n = [F.when(F.col("n_chars") == F.length(text), F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")] if "n_chars" in docs.columns else []
-    columns = [F.col("__text").alias("text") if c == "text" else new_n[0] if c == "n_chars" else F.col(c) for c in docs.columns]
-    return plain.unionByName(changed.select(*columns, "n_entities"))
+    own = F.struct(mapping.alias("m"), found(text).alias("f"))
+    place = lambda x: F.transform(x["f"], lambda e: F.struct(F.coalesce(F.try_element_at(x["m"], e), e).alias("new"), F.try_element_at(x["m"], e).isNotNull().alias("hit")))
+    placed = met.withColumn("places", F.transform(F.array(own), place)[0])
+    joined = F.array_join(F.zip_with(F.split(text, ENTITY, -1), F.col("places"), lambda p, m: F.concat(p, F.coalesce(m["new"], F.lit("")))), "")
+    changed = placed.select("row", joined.alias("new"), F.size(F.filter("places", lambda m: m["hit"])).cast("long").alias("n"))
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col("new").alias(c)
+        if c == "n_chars":
+            return F.when(F.col("row.n_chars") == F.length(text), F.length("new").cast(docs.schema[c].dataType)).otherwise(F.col("row.n_chars")).alias(c)
+        return F.col("row").getField(c).alias(c)
+
+    plain = rows.where(~hit).select("row.*", F.lit(0).cast("long").alias("__n"))
+    out = plain.unionByName(changed.select(*map(column, names), F.col("n").alias("__n")))
+    return out.withColumnRenamed("__n", count) if count else out.drop("__n")
