@@ -77,7 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 HOST_RULES_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM d),
 tri AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM tri) WHERE c > 1),
 rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY rid),
@@ -97,4 +97,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_host_rules": HOST_RULES_SQL}
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+NEAR_DUPLICATES_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, least(len(ws), 1)) + 1)) AS i FROM d),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+m AS (SELECT x, min(y) AS y FROM r GROUP BY x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(y, d.doc_id)) AS component_id, d.doc_id <= coalesce(y, d.doc_id) AS kept
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN m ON d.doc_id = m.x
+"""
+
+SEARCH_SQL = f"""
+WITH w AS (SELECT doc_id, unnest({WORDS}) AS t FROM documents),
+f AS (SELECT doc_id, t, count(*) AS c FROM w GROUP BY ALL),
+l AS (SELECT doc_id, sum(c) AS n FROM f GROUP BY doc_id),
+a AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(n) FROM l) / (SELECT count(*) FROM documents) AS mean),
+i AS (SELECT t, ln(1 + (a.n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM f, a GROUP BY t, a.n),
+s AS (
+  SELECT q.doc_id AS query_id, f.doc_id, round(sum(q.c * idf * f.c * 2.2 / (f.c + 1.2 * (0.25 + 0.75 * l.n / mean))), 6) AS score
+  FROM f q JOIN i ON q.t = i.t JOIN f ON f.t = q.t JOIN l ON f.doc_id = l.doc_id, a WHERE q.doc_id % 50 = 0 GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM s)
+SELECT query_id, rank, doc_id, score FROM o WHERE rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_near_duplicates": NEAR_DUPLICATES_SQL, "op5_host_rules": HOST_RULES_SQL, "op8_search": SEARCH_SQL}
