@@ -25,7 +25,7 @@ BASE = (("assign", ASSIGN, 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r
 #: Weak kinds: what they match and the roles a reported one needs nearby.
 WEAK = (
     ("weak_access", r"(?:AKIA|ASIA)[A-Z0-9]{6,15}(?![A-Z0-9])|ASIA[A-Z0-9]{16,}", "access"),
-    ("weak_secret", r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]{0,39}[0-9])(?=[A-Za-z0-9+/]{0,39}[A-Z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])|(?<![0-9a-f])(?=[0-9a-f]{0,15}[0-9])[0-9a-f]{16,23}(?![0-9a-f])", "secret"),
+    ("weak_secret", r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]{0,39}[0-9])(?=[A-Za-z0-9+/]{0,39}[A-Z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])|(?<![0-9A-Za-z])(?=[0-9a-f]{0,22}[0-9])(?=[0-9a-f]{0,22}[a-f])[0-9a-f]{16,23}(?![0-9A-Za-z])", "secret"),
     ("endpoint", r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9._/-]*)?", "endpoint"),
 )
 ROLE = {"assign": "secret", "access": "access", "hex": "secret"} | {k: r for k, _, r in WEAK}
