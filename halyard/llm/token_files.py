@@ -24,6 +24,7 @@ from halyard.llm.chunks import encoder, slices, tidy
 from halyard.llm.common import scratch
 
 BLOCK, PERCENTILE, SEGMENT_IDS = 128, 90, 1 << 20
+GENERATION = 800_000  # chunks that a worker keeps: nothing else runs beside this
 MAGIC = b"HPF1"
 ROWS = "part int, segment long, at long, n_docs long, n_ids long, data binary"
 
@@ -162,7 +163,7 @@ def write(docs: DataFrame, path: str, out: str, end_id: int = 2, parts: int | No
         import pyarrow as pa
         from pyspark import TaskContext
 
-        coder, part, number, total = encoder(path), TaskContext.get().partitionId(), 0, 0
+        coder, part, number, total = encoder(path, GENERATION), TaskContext.get().partitionId(), 0, 0
         names, counts, raws, n = [], [], [], 0
 
         def closed() -> pa.RecordBatch:
