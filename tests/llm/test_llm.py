@@ -565,7 +565,7 @@ def test_registered(spark, sf_dir):
     con = duckdb.connect()
     for name in ("documents", "labels"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
-    n = con.sql("SELECT count(*) FROM documents").fetchone()[0]
+    n = con.sql("SELECT count(*) FROM documents").fetchall()[0][0]
     for name, query in queries.QUERIES.items():
         df = query(spark, sf_dir)
         rows = [r.asDict() for r in df.collect()]
