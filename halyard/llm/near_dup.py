@@ -8,7 +8,7 @@ similarity reaches the threshold is below ``miss``; survivors are verified on th
 A cell gives a spanning forest of its links, so a group of g copies yields at most g - 1 links for each cell it is in.
 Groups too large for a cell are first compared with a few of their members; what these do not join is then compared
 with all of the group, block by block. Thus every candidate pair is either verified or known to be connected, and no
-group's pairs are listed. With the bands below, a pair at the threshold is missed with probability 3e-6.
+group's pairs are listed. There are as many bands as it takes to miss a pair at the threshold with probability 3e-6.
 
 Nulls: null and empty texts, and texts without words, have no shingles and no links. Rows with the same doc_id count as
 one document. Rows without doc_id take part only through a class that also has a doc_id; otherwise their component is
@@ -29,10 +29,17 @@ from halyard.llm.common import checkpointed, kept_table, sized
 from halyard.llm.components import components
 from halyard.llm.shingles import Signer, set_print, shingle_set
 
-BANDS, ROWS, HASHES, STEP = 40, 8, 128, 16
+BANDS, ROWS, HASHES, STEP = 40, 8, 128, 16  # 40 bands are those of a threshold of 0.85
+ESCAPE = 3e-6
 CELL, CENTERS = 256, 4
 
 
+def bands_for(percent: int) -> int:
+    """The fewest bands that a pair at the threshold escapes with probability ``ESCAPE`` at most."""
+    shared = (percent / 100) ** ROWS
+    return math.ceil(math.log(ESCAPE) / math.log1p(-shared)) if shared < 1 else 1
+
+
 def least_matches(percent: int, miss: float, hashes: int = HASHES, step: int = STEP) -> list[int]:
     """After each batch, the fewest equal hashes with which a pair stays: with a uniform prior on the similarity,
     P(similarity >= t | m of n equal) is the chance of at most m successes in n + 1 trials of probability t."""
@@ -46,19 +53,19 @@ def least_matches(percent: int, miss: float, hashes: int = HASHES, step: int = S
     return out
 
 
-def signed(docs: DataFrame, k: int = 5) -> DataFrame:
+def signed(docs: DataFrame, k: int = 5, bands: int = BANDS) -> DataFrame:
     """Per row: doc_id, n (shingles), f1, f2 (the set's print), bands. One pass over the texts."""
 
     def sign(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        signer = Signer(BANDS, ROWS, HASHES)
+        signer = Signer(bands, ROWS, HASHES)
         for batch in batches:
             for at, texts in slices(batch.column(1)):
                 own = [shingle_set(text.encode(), k) for text in texts]
                 f1, f2 = zip(*(set_print(x) if len(x) else (0, 0) for x in own), strict=True)
-                bands = [signer.sign(x)[0] if len(x) else None for x in own]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(x) for x in own], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "f1", "f2", "bands"])
+                keys = [signer.sign(x)[0] if len(x) else None for x in own]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(x) for x in own], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "f1", "f2", "bands"])
         tidy()
 
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, f1 long, f2 long, bands array<long>")
@@ -205,7 +212,7 @@ def rest_cells(members: DataFrame, parts: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, miss: float = 1e-9) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept."""
-    signs = kept_table(signed(docs, k))
+    signs = kept_table(signed(docs, k, bands_for(percent)))
     some = signs.where("n > 0")
     classes = checkpointed(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")))
     firsts = classes.where("rep is not null").select(F.col("rep").alias("r"))

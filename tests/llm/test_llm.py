@@ -240,6 +240,30 @@ def test_near_duplicates_awkward(awkward, nothing):
     assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in got if r["kept"]}
 
 
+def test_bands_follow_the_threshold():
+    assert near_dup.bands_for(85) == near_dup.BANDS
+    for percent in (50, 80, 85, 95):
+        escape = lambda bands: (1 - (percent / 100) ** near_dup.ROWS) ** bands  # noqa: E731, B023
+        assert escape(near_dup.bands_for(percent)) <= near_dup.ESCAPE < escape(near_dup.bands_for(percent) - 1)
+    assert near_dup.bands_for(100) == 1
+
+
+def test_near_dedup_stage_threshold(spark):
+    """The stage links from 0.80 on, op3 from 0.85 on."""
+    import corpus_pipeline
+
+    base = [f"w{k}" for k in range(104)]  # 100 shingles
+    texts = [" ".join(base)]
+    for k, end in enumerate((11, 12)):  # 89 and 88 shingles in common: 89 / 111 and 88 / 112
+        texts.append(" ".join([*base[:-end], *(f"x{k}-{i}" for i in range(end))]))
+    a, b, c = shingle_sets(texts)
+    assert 0.80 < len(a & b) / len(a | b) < 0.85 and len(a & c) / len(a | c) < 0.80
+    for pair, kept in ((texts[:2], {0}), (texts[::2], {0, 1})):
+        df = docs_of(spark, pair)
+        assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == kept
+        assert all(r["kept"] for r in as_rows(near_dup.near_duplicates(df)))
+
+
 def test_signatures(words):
     rng = random.Random(2)
     signer = shingles.Signer(near_dup.BANDS, near_dup.ROWS, near_dup.HASHES)
