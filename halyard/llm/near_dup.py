@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm.chunks import slices, tidy
-from halyard.llm.common import checkpointed, kept_table, sized
+from halyard.llm.common import WORD, checkpointed, kept_table, sized
 from halyard.llm.components import components
 from halyard.llm.shingles import Signer, set_print, shingle_set
 
@@ -236,8 +236,37 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, miss: float
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with a key __key that follows from doc_id and text alone, so that it is the same whenever it is computed
+    again, and (key, id) of its rows. Of rows with words that agree in doc_id and text one is left, so that their keys
+    are unique; keys that two such pairs share are drawn again."""
+    words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    for salt in range(20):
+        key, other = (F.xxhash64(F.lit(salt), F.lit(k), F.col("doc_id").isNull(), "doc_id", "text") for k in (0, 1))
+        rows = docs.where(words).select(key.alias("key"), F.col("doc_id").alias("id"), other.alias("other"))
+        met = checkpointed(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("other").alias("low"), F.max("other").alias("high"), F.min("id").alias("id")))
+        if not met.where("low <> high").limit(1).count():
+            break
+    else:
+        raise ValueError("no keys without collisions")
+    keyed = docs.withColumn("__key", F.when(words, key))
+    again = checkpointed(met.where("n > 1").select(F.col("key").alias("__again")))
+    if again.limit(1).count():
+        is_again = F.col("__key") == F.col("__again")
+        repeats = keyed.join(sized(again), is_again, "left_semi").dropDuplicates(["__key"])
+        keyed = keyed.join(sized(again), is_again, "left_anti").unionByName(repeats)
+    return keyed, met.select("key", "id")
+
+
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose document stays: one of each component. Columns as they were; no text is shuffled
-    unless more documents go than a broadcast may hold."""
-    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("__gone")).where("__gone is not null").distinct()
-    return docs.join(sized(checkpointed(gone)), F.col("doc_id") == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` that stay: of each component of rows, told apart by doc_id and text, the one with the smallest
+    doc_id, and all rows without words. Repeated and missing doc_ids link nothing and keep no copy. Columns as they were;
+    no text is shuffled unless rows repeat or more rows go than a broadcast may hold."""
+    keyed, ids = _keyed(docs)
+    found = near_duplicates(keyed.where("__key is not null").select(F.col("__key").alias("doc_id"), "text"), **options)
+    others = checkpointed(found.where("not kept").select(F.col("doc_id").alias("member"), "component_id"))
+    members = checkpointed(others.unionByName(others.select(F.col("component_id").alias("member"), "component_id").distinct()))
+    named = ids.join(sized(members), F.col("key") == F.col("member"))
+    first = named.groupBy("component_id").agg(F.min_by("key", F.struct(F.col("id").isNull(), "id", "key")).alias("first"))
+    gone = checkpointed(members.join(sized(checkpointed(first)), F.col("member") == F.col("first"), "left_anti").select(F.col("member").alias("__gone")))
+    return keyed.join(sized(gone), F.col("__key") == F.col("__gone"), "left_anti").drop("__key")

@@ -264,6 +264,20 @@ def test_near_dedup_stage_threshold(spark):
         assert all(r["kept"] for r in as_rows(near_dup.near_duplicates(df)))
 
 
+def test_deduplicated_by_row(spark, words):
+    """One row of each group stays where ids are missing or shared, and rows that only share an id are not a group."""
+    rng = random.Random(21)
+    a, b, c, d, e = (prose(rng, words, 80) for _ in range(5))
+    rows = [(7, a), (None, a), (None, a.upper()), (3, a), (None, b), (None, b), (None, b + " end"), (5, c), (5, c), (5, d), (9, d), (8, e)]
+    rows += [(None, None), (None, None), (6, ""), (6, ""), (8, " ")] + [(None, c)] * 600
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC).repartition(3)
+    out = sorted(((r["doc_id"], r["text"]) for r in near_dup.deduplicated(df).collect()), key=repr)
+    ours = [r for r in out if r[0] is None and r[1]]
+    assert len(ours) == 1 and ours[0][1] in (b, b + " end")
+    want = [(3, a), ours[0], (5, c), (5, d), (8, e), (None, None), (None, None), (6, ""), (6, ""), (8, " ")]
+    assert out == sorted(want, key=repr)
+
+
 def test_signatures(words):
     rng = random.Random(2)
     signer = shingles.Signer(near_dup.BANDS, near_dup.ROWS, near_dup.HASHES)
