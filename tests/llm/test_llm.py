@@ -564,7 +564,7 @@ def bm25(texts, ids, queries, k):
         for i, b, size in zip(ids, bags, length, strict=True):
             s = sum(c * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * size / mean)) for w, c in collections.Counter((asked or "").encode().lower().split()).items() if w in b)
             if s > 0:
-                scores.append((-round(s, 7), i))
+                scores.append((-round(s, 6), i))
         out[q] = sorted(scores)[:k]
     return out
 
@@ -587,9 +587,39 @@ def test_search(spark, words, nothing, terms, monkeypatch):
 
 
 def test_search_awkward(awkward):
-    got = as_rows(search.top_k(awkward, awkward, 3))
-    assert {r["query_id"] for r in got} <= {r["doc_id"] for r in awkward.collect()}
-    assert all(r["doc_id"] is not None and r["rank"] <= 3 for r in got)
+    """Every row with an id is found, repeated ids each; of rows that share an id the least text asks."""
+    rows = [(r["doc_id"], r["text"]) for r in awkward.collect()]
+    asks = {}
+    for i, t in rows:
+        if i is not None and t is not None:
+            asks[i] = min(asks.get(i, t), t, key=lambda x: x.encode())
+    got = collections.defaultdict(list)
+    for r in sorted(as_rows(search.top_k(awkward, awkward, 3)), key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append((r["score"], r["doc_id"]))
+    want = bm25([t for _, t in rows], [i for i, _ in rows], asks, None)
+    for q in asks:
+        best = [(s, i) for s, i in want[q] if i is not None][:3]
+        assert [i for _, i in best] == [i for _, i in got[q]]
+        assert [-s for s, _ in best] == pytest.approx([s for s, _ in got[q]], abs=2e-6)
+    assert set(got) <= set(asks)
+
+
+def test_search_skips(words):
+    """Blocks whose maxima stay below a query's threshold are not opened, and the answers are those of all blocks."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice([f"{w}{k % 4}" for w in words[:60]] + words[:15]) for _ in range(40)) for k in range(3000)]
+    found = [search.terms_of(t) for t in texts]
+    row = search.shard_row(list(range(len(texts))), found)
+    asked = np.unique(np.concatenate([f[0] for f in found[:40]]))
+    asks = [(np.searchsorted(asked, f[0]), f[1].astype(np.float64)) for f in found[:40]]
+    shard = search.Shard(row, asked, 40.0)
+    got = {q: (ids.tolist(), s.tolist()) for q, ids, s in shard.top(asks, 5, np.zeros(40))}
+    assert shard.opened < 0.5 * shard.blocks_met <= 0.5 * shard.blocks * 40
+    all_docs = np.arange(len(shard.ids))
+    for q, (terms, weights) in enumerate(asks):
+        local = shard.local[terms]
+        ids, s = shard._exact(all_docs, local, weights, 5)
+        assert got[q] == (ids.tolist(), s.tolist())
 
 
 # The queries and the pipeline
