@@ -607,7 +607,7 @@ def test_search_awkward(awkward):
 def test_search_skips(words):
     """Blocks whose maxima stay below a query's threshold are not opened, and the answers are those of all blocks."""
     rng = random.Random(7)
-    texts = [" ".join(rng.choice([f"{w}{k % 4}" for w in words[:60]] + words[:15]) for _ in range(40)) for k in range(3000)]
+    texts = [" ".join(rng.choice([f"{w}{k % 4}" for w in words[:20]] + words[20:24]) for _ in range(40)) for k in range(3000)]
     found = [search.terms_of(t) for t in texts]
     row = search.shard_row(list(range(len(texts))), found)
     asked = np.unique(np.concatenate([f[0] for f in found[:40]]))
