@@ -27,3 +27,14 @@ def has_flag(flags: Column | str, bit: int) -> Column:
 
 def without_flag(flags: Column | str, bit: int) -> Column:
     return (F.col(flags) if isinstance(flags, str) else flags).bitwiseAND(F.lit(~(1 << bit)))
+
+
+def uniform(seed: int, *parts: Column | str) -> Column:
+    """A number in [0, 1) that follows from seed and parts alone: the first 32 bits of their MD5."""
+    text = F.concat_ws(":", F.lit(str(seed)), *parts)
+    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))).cast("double")
+
+
+def sampled(rate: float, seed: int, *parts: Column | str) -> Column:
+    """Whether a row belongs to a uniform sample of ``rate``; the same rows whenever it is computed."""
+    return uniform(seed, *parts) < rate

@@ -27,6 +27,7 @@ def pagerank_program(rounds: int = 10, damping: float = DAMPING) -> VertexProgra
         sends=lambda step: F.lit(step.number < rounds),
         halt=lambda step: F.lit(step.number >= rounds),
         aggregates={"dangling": lambda step: F.sum(F.when(F.col("deg") == 0, F.col("pr")).otherwise(0.0))},
+        name=f"pagerank {rounds} {damping}",
     )
 
 

@@ -5,9 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from halyard.functions import sampled
 from halyard.plans.storage import checkpointed
 
 
+def splitters(df: DataFrame, key: str, parts: int, rate: float = 0.01, seed: int = 1) -> DataFrame:
+    """(part, key): the lower ends of ``parts`` ranges of about equal size, from a uniform sample of the keys.
+
+    Quantiles of the sample are merged as sketches, so no task sorts it.
+    """
+    some = df.where(sampled(rate, seed, key))
+    at = [k / parts for k in range(1, parts)]
+    cut = some.agg(F.percentile_approx(key, at, 10_000).alias("cuts"))
+    return cut.select(F.posexplode("cuts").alias("part", key)).select((F.col("part") + 1).alias("part"), key)
+
+
 def sort_records(df: DataFrame, *keys: Column | str, parts: int | None = None) -> DataFrame:
     """Range-partitioned by sampled splitters and sorted within partitions: partition order is the global order."""
     parts = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard import functions as fn
+from halyard import streaming
 from halyard.operators import escape, sorting, triangles
 from halyard.operators.graph import Graph, copurchase, purchase, table
 from halyard.operators.pagerank import pagerank, pagerank_program
 from halyard.plans import programs
 from halyard.plans.loop import InjectedFault, run
+from halyard.plans.program import Fold, VertexProgram, folding
 from halyard.plans.snapshots import Snapshots
 from halyard.plans.storage import scratch
 from halyard.sources import text
@@ -199,6 +204,140 @@ def udf_program(spark, sf_dir):
     return escape.pandas_step(graph.vertices, sent, _degree_sums, "id long, n long, total long")
 
 
+def checkpoint_rerun(spark, sf_dir):
+    """Two runs fail in one folder, the second after a snapshot of the same step; a third resumes."""
+    graph, path = purchase(spark, sf_dir), scratch(spark, "snapshots")
+    for fails in (7, 6):
+        try:
+            run(graph, pagerank_program(), snapshots=Snapshots(path, 5), fail_after=fails)
+        except InjectedFault:
+            pass
+    return _ranks(run(graph, pagerank_program(), snapshots=Snapshots(path, 5), resume=True).state)
+
+
+def checkpoint_log_resume(spark, sf_dir):
+    """The log of states after the snapshot lets a run resume from the step it failed in."""
+    graph, path = purchase(spark, sf_dir), scratch(spark, "snapshots")
+    try:
+        run(graph, pagerank_program(), snapshots=Snapshots(path, 5, log=True), fail_after=7)
+    except InjectedFault:
+        pass
+    store = Snapshots(path, 5, log=True)
+    state = run(graph, pagerank_program(), snapshots=store, resume=True).state
+    return _ranks(state).withColumn("resumed_from", F.lit(7 if store.committed(spark)[0] == 5 else None).cast("int"))
+
+
+def checkpoint_veto(spark, sf_dir):
+    path = scratch(spark, "snapshots")
+    program = dataclasses.replace(pagerank_program(), checkpointable=lambda step: step % 2 == 1)
+    run(purchase(spark, sf_dir), program, snapshots=Snapshots(path, 2))
+    return spark.createDataFrame([(k,) for k in Snapshots(path).committed(spark)], "step int")
+
+
+def superstep_totals(spark, sf_dir):
+    return pagerank(purchase(spark, sf_dir)).totals().select("steps", "msgs_sent", "delivered", "inboxes")
+
+
+def user_fold(spark, sf_dir):
+    """A global aggregate and a combiner that are folds of one's own: the largest id of odd degree; products mod 1009."""
+    odd = Fold(
+        value=lambda step: F.when(F.col("deg") % 2 == 1, F.col("id")), zero=F.lit(-1).cast("long"),
+        step=lambda acc, v: F.greatest(acc, v), merge=lambda a, b: F.greatest(a, b),
+    )
+    program = VertexProgram(
+        init=lambda n: {"prod": F.lit(1).cast("long"), "odd": F.lit(0).cast("long")},
+        update=lambda s: {} if s.number == 1 else {"prod": F.coalesce("msg", F.lit(1)), "odd": F.lit(s.agg["odd"]).cast("long")},
+        message=lambda s: F.col("id") % 1009 + 1, combine=folding(F.lit(1).cast("long"), lambda acc, m: acc * m % 1009),
+        sends=lambda s: F.lit(s.number == 1), halt=lambda s: F.lit(s.number == 2), folds={"odd": odd},
+    )
+    return run(purchase(spark, sf_dir), program).state.select("id", "prod", "odd")
+
+
+def edge_attributes(spark, sf_dir):
+    """Messages that use an edge's attribute."""
+    graph = purchase(spark, sf_dir)
+    graph = Graph(graph.vertices, graph.edges.withColumn("eval", (F.col("src") + F.col("dst")) % 7))
+    program = VertexProgram(
+        init=lambda n: {"total": F.lit(0).cast("long")}, update=lambda s: {"total": F.coalesce("msg", F.lit(0))}, message=lambda s: F.col("id") * F.col("eval"),
+        sends=lambda s: F.lit(s.number == 1), halt=lambda s: F.lit(s.number == 2),
+    )
+    return run(graph, program).state.select("id", "total")
+
+
+def tuple_owner(spark, sf_dir):
+    """Every edge has one of the workers, and few workers have none."""
+    owner = purchase(spark, sf_dir).edges.select(fn.tuple_owner(16, "src", "dst").alias("w"))
+    return owner.agg(F.count("*").alias("n"), F.min((F.col("w") >= 0) & (F.col("w") < 16)).alias("valid"), (F.count_distinct("w") > 8).alias("spread"))
+
+
+def uniform_sample(spark, sf_dir):
+    return table(spark, sf_dir, "events").where(fn.sampled(0.1, 7, F.col("event_id"))).select("event_id")
+
+
+def sort_splitters(spark, sf_dir):
+    """Ranges cut by a sample: their number, and whether each holds between half and twice its share of the keys."""
+    events = table(spark, sf_dir, "events").select("value")
+    cuts = sorting.splitters(events, "value", 8, rate=0.5).agg(F.sort_array(F.collect_list("value")).alias("cuts"))  # seven numbers
+    part = F.size(F.filter("cuts", lambda c: c <= F.col("value")))
+    sizes = events.crossJoin(F.broadcast(cuts)).groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    share = F.sum("n") / 8
+    return sizes.agg(F.count("*").alias("parts"), ((F.min("n") > share / 2) & (F.max("n") < 2 * share)).alias("even"))
+
+
+def multiple_inputs(spark, sf_dir):
+    graph, paths = purchase(spark, sf_dir), [scratch(spark, "left"), scratch(spark, "right")]
+    for k, path in enumerate(paths):
+        own = graph.vertices.where(F.col("id") % 2 == k)
+        text.write_lines(text.adjacency_lines(Graph(own, graph.edges)), path)
+    return text.parse_adjacency(text.read_lines(spark, *paths)).out_degrees()
+
+
+def path_checks(spark, sf_dir):
+    """Which uses of paths are errors."""
+    there, rows = scratch(spark, "there"), []
+    lines = spark.createDataFrame([("1\t0",)], "value string")
+    text.write_lines(lines, there)
+    cases = {"missing input": lambda: text.read_lines(spark, f"{there}-not").count(), "existing output": lambda: text.write_lines(lines, there), "forced output": lambda: text.write_lines(lines, there, force=True)}
+    for name, use in cases.items():
+        try:
+            use()
+            rows.append((name, False))
+        except AnalysisException:
+            rows.append((name, True))
+    return spark.createDataFrame(rows, "name string, fails boolean")
+
+
+def import_text(spark, sf_dir):
+    source, target = scratch(spark, "source"), scratch(spark, "target")
+    text.write_lines(text.adjacency_lines(purchase(spark, sf_dir)), source)
+    text.import_text(spark, source, target)
+    return text.parse_adjacency(text.read_lines(spark, target)).edges
+
+
+def split_report(spark, sf_dir):
+    """Rows that tasks read, by file: together all of the table, each file's rows once."""
+    report = text.placement(table(spark, sf_dir, "lineitem"))
+    return report.groupBy("file").agg(F.sum("n").alias("n")).agg(F.sum("n").alias("n"), F.count("*").alias("files"))
+
+
+def degree_text(spark, sf_dir):
+    """Adjacency lines read, every degree told to the neighbours, and written as lines."""
+    text.write_lines(text.adjacency_lines(copurchase(spark, sf_dir)), path := scratch(spark, "adjacency"))
+    graph = text.parse_adjacency(text.read_lines(spark, path))
+    text.write_lines(text.degree_lines(triangles.neighbour_degrees(graph)), out := scratch(spark, "degrees"))
+    return text.read_lines(spark, out)
+
+
+def stream_degrees(spark, sf_dir):
+    """Out-degrees of adjacency lines that arrive as files, one at a time."""
+    text.write_lines(text.adjacency_lines(purchase(spark, sf_dir)).repartition(3), path := scratch(spark, "adjacency"))
+    out = scratch(spark, "degrees")
+    lines = spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(path)
+    told = streaming.stream_degrees(lines).writeStream.outputMode("complete").trigger(availableNow=True)
+    told.option("checkpointLocation", scratch(spark, "stream")).foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(out)).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -206,7 +345,9 @@ QUERIES = {
         degree_broadcast, orient_edges, wedges, closed_wedges, triangles_mid, triangles_min, triangle_total, triangle_request_rounds,
         triangle_request_steps, triangle_supersteps, inbox_collect, combine_sum, deliver_known, active_filter, wake_all, force_terminate,
         or_flags, vertex_owner, range_sort_order, range_sort_text, adjacency_parse, adjacency_cached, degree_pairs_parse,
-        checkpoint_lw_resume, checkpoint_hw_resume, udf_program,
+        checkpoint_lw_resume, checkpoint_hw_resume, udf_program, checkpoint_rerun, checkpoint_log_resume, checkpoint_veto, superstep_totals,
+        user_fold, edge_attributes, tuple_owner, uniform_sample, sort_splitters, multiple_inputs, path_checks, import_text, split_report,
+        degree_text, stream_degrees,
     )
 }
 
@@ -276,5 +417,22 @@ ORACLE_SQL = {
     "degree_pairs_parse": f"WITH {ORIENTED} SELECT v.id, coalesce(string_agg(dhi::VARCHAR || ':' || hi::VARCHAR, ' ' ORDER BY dhi, hi), '') AS nbs FROM v LEFT JOIN o ON v.id = o.lo GROUP BY v.id",
     "checkpoint_lw_resume": _pagerank_sql(PURCHASE, RANKS),
     "checkpoint_hw_resume": _pagerank_sql(PURCHASE, RANKS),
+    "checkpoint_rerun": _pagerank_sql(PURCHASE, RANKS),
+    "checkpoint_log_resume": _pagerank_sql(PURCHASE, "SELECT id, round(pr, 9) AS pr, 7::INT AS resumed_from FROM r10"),
+    "checkpoint_veto": "SELECT 9::INT AS step",
+    "superstep_totals": f"WITH {PURCHASE} SELECT 10::INT AS steps, 9 * count(*) AS msgs_sent, 9 * count(*) AS delivered, 9 * count(DISTINCT dst) AS inboxes FROM e",
+    "user_fold": f"WITH RECURSIVE {PURCHASE}, g AS (SELECT dst, list(src % 1009 + 1) AS ms FROM e GROUP BY dst), "
+    "d AS (SELECT v.id, count(e.src) AS deg FROM v LEFT JOIN e ON v.id = e.src GROUP BY v.id) "
+    "SELECT v.id, coalesce(list_reduce(list_prepend(1::BIGINT, ms), lambda a, m: a * m % 1009), 1)::BIGINT AS prod, (SELECT max(id) FROM d WHERE deg % 2 = 1) AS odd FROM v LEFT JOIN g ON v.id = dst",
+    "edge_attributes": f"WITH {PURCHASE} SELECT v.id, coalesce(sum(src * ((src + dst) % 7)), 0)::BIGINT AS total FROM v LEFT JOIN e ON v.id = dst GROUP BY v.id",
+    "tuple_owner": f"WITH {PURCHASE} SELECT count(*) AS n, true AS valid, true AS spread FROM e",
+    "uniform_sample": "SELECT event_id FROM events WHERE ('0x' || substr(md5('7:' || event_id), 1, 8))::BIGINT / 4294967296.0 < 0.1",
+    "sort_splitters": "SELECT 8::BIGINT AS parts, true AS even",
+    "multiple_inputs": f"WITH {PURCHASE} SELECT v.id, count(e.src) AS deg FROM v LEFT JOIN e ON v.id = e.src GROUP BY v.id",
+    "path_checks": "SELECT * FROM (VALUES ('missing input', true), ('existing output', true), ('forced output', false)) t(name, fails)",
+    "import_text": f"WITH {PURCHASE} SELECT src, dst FROM e",
+    "split_report": "SELECT count(*)::BIGINT AS n, 1::BIGINT AS files FROM lineitem",
+    "degree_text": f"WITH {COPURCHASE} SELECT v.id::VARCHAR || chr(9) || concat_ws(' ', count(src), string_agg(src::VARCHAR || ' ' || deg::VARCHAR, ' ' ORDER BY src)) AS value FROM v LEFT JOIN (SELECT dst, src, deg FROM e JOIN d ON src = id) m ON v.id = dst GROUP BY v.id",
+    "stream_degrees": f"WITH {PURCHASE} SELECT src AS id, count(*) AS deg FROM e GROUP BY src",
     "udf_program": f"WITH {COPURCHASE} SELECT v.id, count(e.src) AS n, coalesce(sum(deg), 0)::BIGINT AS total FROM v LEFT JOIN e ON v.id = e.dst LEFT JOIN d ON e.src = d.id GROUP BY v.id",
 }

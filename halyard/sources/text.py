@@ -37,11 +37,13 @@ def parse_adjacency(lines: DataFrame) -> Graph:
 
 
 def parse_degree_pairs(lines: DataFrame) -> Graph:
-    """Vertices with ``deg`` (their n), and edges with ``dst_deg``."""
+    """Vertices with ``deg`` (their n), and edges with ``dst_deg``. Of a truncated line, pairs that are missing give no
+    edge, and a degree that is missing is null."""
     found = _fields(lines, 2)
+    number = lambda i: F.try_element_at("rest", (i + 1).cast("int")).cast("bigint")
     at = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n").cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    pairs = F.transform(at, lambda i: F.struct(F.col("rest")[2 * i].cast("bigint").alias("dst"), F.col("rest")[2 * i + 1].cast("bigint").alias("dst_deg")))
-    edges = found.select(F.col("id").alias("src"), F.explode(pairs).alias("e")).select("src", "e.dst", "e.dst_deg")
+    pairs = F.transform(at, lambda i: F.struct(number(2 * i).alias("dst"), number(2 * i + 1).alias("dst_deg")))
+    edges = found.select(F.col("id").alias("src"), F.explode(pairs).alias("e")).select("src", "e.dst", "e.dst_deg").where("dst is not null")
     return Graph(found.select("id", F.col("n").alias("deg")), edges)
 
 

@@ -132,6 +132,45 @@ def test_resume(spark, tmp_path, heavy):
     assert [s["step"] for s in resumed.steps] == list(range(1, 11))
 
 
+def test_rerun_in_one_folder(spark, tmp_path):
+    """A second run's snapshot of the same step stays; another program or graph is refused."""
+    place = f"file://{tmp_path}/r"
+    g = graph(spark, range(30), [(a, (a * 7 + k) % 30) for a in range(25) for k in range(3)])
+    for fails in (7, 6):
+        with pytest.raises(InjectedFault):
+            run(g, pagerank_program(), snapshots=Snapshots(place, 5), fail_after=fails)
+        assert Snapshots(place).committed(spark) == [5]
+    assert len([f for f in (tmp_path / "r").iterdir() if f.name.startswith("step=")]) == 1
+    resumed = run(g, pagerank_program(), snapshots=Snapshots(place, 5), resume=True)
+    assert ranks(resumed) == pytest.approx(ranks(pagerank(g)), abs=1e-12)
+    for other, program in ((g, pagerank_program(9)), (graph(spark, range(30), [(1, 2)]), pagerank_program())):
+        with pytest.raises(ValueError, match="another run"):
+            run(other, program, snapshots=Snapshots(place, 5), resume=True)
+
+
+def test_log_is_pruned(spark, tmp_path):
+    place = f"file://{tmp_path}/l"
+    g = graph(spark, range(9), [(a, (a * 2) % 9) for a in range(9)])
+    for fails, there in ((3, [1, 2, 3]), (8, [5, 6, 7, 8])):
+        with pytest.raises(InjectedFault):
+            run(g, pagerank_program(), snapshots=Snapshots(place, 5, log=True), resume=True, fail_after=fails)
+        assert Snapshots(place).committed(spark) == there
+    resumed = run(g, pagerank_program(), snapshots=Snapshots(place, 5, log=True), resume=True)
+    assert [s["step"] for s in resumed.steps] == list(range(1, 11))
+    assert ranks(resumed) == pytest.approx(ranks(pagerank(g)), abs=1e-12)
+
+
+def test_short_lineage(spark):
+    g = graph(spark, range(12), [(a, (a * 5 + 1) % 12) for a in range(12)] + [(3, 4)])
+    assert ranks(run(g, pagerank_program(), cut=2)) == pytest.approx(ranks(pagerank(g)), abs=1e-12)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_truncated_degree_line(spark):
+    g = text.parse_degree_pairs(lines(spark, "1\t2 2 3 5", "2\t1 1 2", "3\t4"))
+    assert sorted(map(tuple, g.edges.collect())) == [(1, 2, 3), (1, 5, None), (2, 1, 2)]
+
+
 def test_vetoed_snapshots(spark, tmp_path):
     import dataclasses
 
