@@ -100,14 +100,18 @@ def run(
     edges = persisted(graph.edges.repartition(parts, "src").sortWithinPartitions("src"))
     try:
         with fixed_partitions(spark):
-            return _Run(graph, edges, program, parts, cut).go(max_steps, snapshots, resume, fail_after, began)
+            return _Run(graph, edges, program, parts, cut, snapshots).go(max_steps, resume, fail_after, began)
     finally:
-        edges.unpersist()
+        try:
+            if snapshots:
+                snapshots.wait()
+        finally:
+            edges.unpersist()
 
 
 class _Run:
-    def __init__(self, graph: Graph, edges: DataFrame, program: VertexProgram, parts: int, cut: int):
-        self.graph, self.edges, self.program, self.parts, self.cut = graph, edges, program, parts, cut
+    def __init__(self, graph: Graph, edges: DataFrame, program: VertexProgram, parts: int, cut: int, snapshots: Snapshots | None):
+        self.graph, self.edges, self.program, self.parts, self.cut, self.snapshots = graph, edges, program, parts, cut, snapshots
         self.spark, self.held = edges.sparkSession, []
 
     def placed(self, state: DataFrame) -> DataFrame:
@@ -117,6 +121,8 @@ class _Run:
         """``state`` computed and held, and what ``columns`` aggregate over it. The one held before goes."""
         state = persisted(state)
         got = state.agg(*(c.alias(k) for k, c in columns.items())).first().asDict()
+        if self.snapshots:  # which may still write the one before
+            self.snapshots.wait()
         self.held, before = [state], self.held
         for old in before:
             old.unpersist()
@@ -137,8 +143,8 @@ class _Run:
         v, e = self.graph.vertices.agg(F.count("*"), total("id")).first(), self.edges.agg(F.count("*"), total(*self.edges.columns)).first()
         return {"program": self.program.name, "vertices": list(v), "edges": list(e)}
 
-    def go(self, max_steps: int, snapshots: Snapshots | None, resume: bool, fail_after: int | None, began: float) -> RunResult:
-        program, edges = self.program, self.edges
+    def go(self, max_steps: int, resume: bool, fail_after: int | None, began: float) -> RunResult:
+        program, edges, snapshots = self.program, self.edges, self.snapshots
         found = None
         if snapshots:
             snapshots.identity = self.identity()
@@ -179,13 +185,12 @@ class _Run:
             if snapshots and goes_on and program.checkpointable(step.number):
                 due = step.number - last >= snapshots.interval
                 if due or snapshots.log:
-                    began = time.time()
-                    saved = snapshots.save(step, state, inbox, steps, wake, log=not due)
-                    last = step.number if due else last
-                    if since >= self.cut:  # what was written ends the lineage
-                        state, _ = self.kept(self.placed(saved), {"n": F.count("*")})
-                        inbox = messages(state, edges, program, step) if got["msgs_sent"] else None
-                        since = 0
+                    began, last = time.time(), step.number if due else last
+                    if since < self.cut:
+                        snapshots.begin(step, state, inbox, steps, wake, log=not due)
+                    else:  # what is written ends the lineage
+                        state, _ = self.kept(self.placed(snapshots.save(step, state, inbox, steps, wake, log=not due)), {"n": F.count("*")})
+                        inbox, since = messages(state, edges, program, step) if got["msgs_sent"] else None, 0
                     seconds["snapshots"] += time.time() - began
             if goes_on and since >= self.cut:
                 state = checkpointed(state)

@@ -4,7 +4,7 @@ A light one holds the state alone: messages are made again from it. A heavy one
 ``log`` the state of every step between snapshots is kept as well, so that a run resumes from the last step; a snapshot
 prunes the log. Data are written first, to a folder that no other save uses, and the manifest last, as one file that is
 renamed into place: its presence commits the snapshot. What was committed before is deleted after that, and only that.
-Manifests say which program and graph they belong to; a folder with another's is refused. All paths go through Hadoop's
+Saves run beside the next superstep; the loop waits for one only where it needs it done. Manifests say which program and graph they belong to; a folder with another's is refused. All paths go through Hadoop's
 file systems, so the folder may be in any store that Spark writes to.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,8 @@ class Snapshots:
     def __init__(self, path: str, interval: int = 100_000, heavy: bool = False, log: bool = False):
         self.path, self.interval, self.heavy, self.log = path.rstrip("/"), interval, heavy, log
         self.write_seconds: list[float] = []
+        self.waited = 0.0
+        self._pending: Future | None = None
         self.identity: dict | None = None
         self.last = 0
 
@@ -64,6 +67,20 @@ class Snapshots:
             if self.identity != (theirs := self._read(spark, name)["identity"]):
                 raise ValueError(f"{self.path} has snapshots of another run: {theirs}")
 
+    def begin(self, step: Step, state: DataFrame, inbox: DataFrame | None, steps: list[dict], wake: bool, log: bool = False) -> None:
+        """``save`` beside what the caller does next."""
+        self.wait()
+        pool = ThreadPoolExecutor(1)
+        self._pending = pool.submit(self.save, step, state, inbox, list(steps), wake, log)
+        pool.shutdown(wait=False)
+
+    def wait(self) -> None:
+        """Until the save that was begun is committed; its error is raised here."""
+        pending, self._pending, began = self._pending, None, time.time()
+        if pending:
+            pending.result()
+            self.waited += time.time() - began
+
     def save(self, step: Step, state: DataFrame, inbox: DataFrame | None, steps: list[dict], wake: bool, log: bool = False) -> DataFrame:
         """Write and commit; the state as it was written. What was there before goes, but for the log's entries."""
         began, spark = time.time(), state.sparkSession
