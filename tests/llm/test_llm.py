@@ -159,8 +159,9 @@ def test_surrogates(spark, awkward, nothing):
     assert luhn(first) == 0 and luhn(second) == 0 and first[4] == " "
     assert new[3] == texts[3] and new[6] is None and new[7] == ""
     female, male, frau = re.match(r"Mrs\. (\S+) \S+ met Mr\. (\S+) and Frau (\S+)", new[4]).groups()
-    assert female in surrogates.FEMALE and male != "Smith" and frau != "Müller"
-    assert re.fullmatch(r"Госпожа [А-Я][а-я]+ тут", new[5]) and new[5] != texts[5]
+    assert re.fullmatch(r"[AEIOU][a-z]{2}a", female) and female != "Anna" and f"{female} {male} met" in new[4]
+    assert re.fullmatch("[A-Z][a-z]{4}", male) and male != "Smith" and re.fullmatch("[A-Z]ü[a-z]{4}|[A-Z][à-ÿ][a-z]{4}", frau) and frau != "Müller"
+    assert re.fullmatch(r"Госпожа [А-Я][а-я]{3}ова тут", new[5]) and new[5] != texts[5]
     assert new[9].split()[0].split("@")[1] == new[9].split()[1].split("@")[1]
     assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got.values())
     assert [r["text"] for r in as_rows(surrogates.replaced(df, "other")) if r["doc_id"] == 0] != [new[0]]
@@ -170,12 +171,85 @@ def test_surrogates(spark, awkward, nothing):
     assert surrogates.replaced(nothing, "k").count() == 0
 
 
+def replaced_texts(spark, texts, key="k"):
+    return [r["text"] for r in sorted(as_rows(surrogates.replaced(docs_of(spark, texts), key)), key=lambda r: r["doc_id"])]
+
+
+def test_surrogates_corefer(spark):
+    """One person, mailbox, card, account or number keeps one surrogate however it is written."""
+    texts = [
+        "Mr. John Smith met Mr. Smith, Dr. John Smith, John Smith and MR JOHN SMITH.", "Ann.Lee@Mail.Example.com ann.lee@mail.example.com",
+        "+1 (743) 555-3824 or +1 743-555-3824 or +17435553824.", "DE89 3704 0044 0532 0130 00 or DE89370400440532013000", "4485 2757 4230 8327 or 4485275742308327",
+    ]
+    new = replaced_texts(spark, texts)
+    first, last = re.match(r"Mr\. (\w+) (\w+) met", new[0]).groups()
+    assert new[0] == f"Mr. {first} {last} met Mr. {last}, Dr. {first} {last}, {first} {last} and MR {first.upper()} {last.upper()}."
+    assert first != "John" and last != "Smith"
+    one, other = new[1].split()
+    assert one.lower() == other and one != other and one[0].isupper()
+    assert len({re.sub("[^0-9]", "", x) for x in new[2].split(" or ")}) == 1 and new[2].startswith("+1 (")
+    for k in (3, 4):
+        one, other = new[k].split(" or ")
+        assert one.replace(" ", "") == other and one != texts[k].split(" or ")[0]
+    turned = new[3].split(" or ")[1]
+    assert int("".join(str(int(c, 36)) for c in turned[4:] + turned[:4])) % 97 == 1
+
+
+def test_surrogates_scripts_and_forms(spark):
+    texts = [
+        "Mr Γιώργος Παπαδόπουλος", "иван@почта.рф", "2001:db8::ff00:42:8329", "call 030 1234567 now", "Mr O'Brien and Mr McDonald", "Mr John Paul Smith left", "ivan@xn--e1afmkfd.xn--p1ai",
+        "Herr Ludwig van der Berg ging", "Mrs. 王伟 came", "X" * 100 + "@", "order 1234567890123456, version 1.2.3, at 12:30:45, std::vector, C3PO",
+    ]
+    new = replaced_texts(spark, texts)
+    greek = "[\u0370-\u03ff]"
+    assert re.fullmatch(f"Mr {greek}{{7}} {greek}{{12}}", new[0]) and new[0].endswith("ος")
+    assert re.fullmatch(r"[а-яё]{4}@[а-яё]{5}\.рф", new[1]) and re.fullmatch(r"[0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{2}:[0-9a-f]{4}", new[2])
+    assert re.fullmatch(r"call 0\d\d \d{7} now", new[3]) and re.fullmatch(r"Mr [A-Z]'[A-Z][a-z]{4} and Mr [A-Z][a-z][A-Z][a-z]{5}", new[4])
+    assert re.fullmatch(r"Mr [A-Z][a-z]{3} [A-Z][a-z]{3} [A-Z][a-z]{4} left", new[5]) and not set("John Paul Smith".split()) & set(new[5].split())
+    assert new[6].endswith(".xn--p1ai") and "e1afmkfd" not in new[6] and re.fullmatch(r"Herr [A-Z][a-z]{5} van der [A-Z][a-z]{3} ging", new[7])
+    assert re.fullmatch("Mrs\\. [\u4e00-\u9fa5]{2} came", new[8]) and "王" not in new[8]
+    assert all(a != b for a, b in zip(new[:9], texts[:9], strict=True)) and new[9:] == texts[9:]
+
+
 def test_surrogates_stay_distinct(spark):
-    many = [f"{a}@b.org" for a in "abcdefghijklmnopqrstuvwx"] + [f"10.0.0.{k}" for k in range(200)]
-    kinds = [("mail" if "@" in m else "address", m) for m in many]
-    table = as_rows(surrogates.surrogates(spark.createDataFrame(kinds + kinds, "kind string, entity string"), "k"))
-    new = [r["surrogate"] for r in table]
-    assert len(table) == len(many) == len(set(new)) and not set(new) & set(many)
+    """Every form of a small format has a surrogate, none twice and none its own; draws follow the key."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    many = [f"{a}@{b}.co" for a in letters for b in letters] + [f"{a}{b}@q.co" for a in letters for b in letters] + [f"10.0.{k // 256}.{k % 256}" for k in range(700)]
+    many += [f"+1 743-555-{k:04}" for k in range(500)] + [f"Mr {a}{b}" for a in letters.upper() for b in letters if a + b not in ("Dr", "Mr", "Ms", "Sr")]
+    new = dict(zip(many, replaced_texts(spark, many), strict=True))
+    assert len(set(new.values())) == len(many) and not any(a == b for a, b in new.items())
+    assert {x[0] for x in new.values() if x.endswith(".co") and x.index("@") == 1} == set(letters)
+    assert surrogates.collisions(docs_of(spark, many), "k").count() == 0
+    with pytest.raises(ValueError, match="secret key"):
+        surrogates.replaced(docs_of(spark, many), "")
+    other = replaced_texts(spark, many[:50], "another")
+    assert sum(a == b for a, b in zip(other, list(new.values())[:50], strict=True)) < 15
+
+
+def test_permutation(spark):
+    """The network against plain Python, over all of a mixed format."""
+    import hmac
+
+    radix, key = [3, 2, 5, 4], "secret"
+
+    def plain(values):
+        now = list(values)
+        number = lambda d, i: int(d[(i % 16) * 4 : (i % 16) * 4 + 4], 16) + 7 * i
+        mac = lambda text: hmac.new(key.encode(), text.encode(), "sha256").hexdigest()
+        for k in (1, 2, 3, 0, -3, -2, -1):
+            if k == 0:
+                now[0] = (now[0] + 1 + number(mac("t:shift"), 0) % (radix[0] - 1)) % radix[0]
+                continue
+            turn = abs(k) % 2
+            d = mac(f"t:{abs(k)}:" + ",".join(str(v) for i, v in enumerate(now) if i % 2 != turn))
+            now = [(v + (1 if k > 0 else -1) * number(d, i)) % radix[i] if i % 2 == turn else v for i, v in enumerate(now)]
+        return tuple(now)
+
+    every = list(itertools.product(*map(range, radix)))
+    df = spark.createDataFrame([(list(v),) for v in every], "v array<int>")
+    got = {tuple(r["v"]): tuple(r["w"]) for r in df.select("v", surrogates.permuted(F.col("v"), F.array(*map(F.lit, radix)), F.lit("t"), key).alias("w")).collect()}
+    assert got == {v: plain(v) for v in every}
+    assert len(set(got.values())) == len(every) and not any(a == b for a, b in got.items())
 
 
 # 3
