@@ -1,12 +1,15 @@
 """Quality rules with host-level verdicts (DataFrame operations only).
 
-Every text gets its rule figures; a document fails if it is too short or mostly repeats itself. Failures are counted by
-host (the source column), a beta prior is fitted to the hosts' rates by the method of moments, each host's rate is
-shrunk towards it, and a host whose shrunk rate is above ``host_limit`` takes its remaining documents with it. A host
-with few documents stays near the prior, so a few failures do not condemn it.
-
-Nulls: a null text is empty, null sources are one host. Empty texts have no words and fail. An empty table gives an
-empty result. Other columns are ignored.
+Every text gets its rule figures. Four rules may fail: too few words, mostly repeated words, many symbols, many repeated
+lines; a document that fails one of the first two is rejected by itself. Failures of each rule are counted by host (the
+source column), a beta prior is fitted to the hosts' rates of the rule by the method of moments, and each host's rate is
+shrunk towards it. A host is rejected, with all its documents, if for any rule the lower credible bound of its rate is
+above the rule's limit: ``TIMES`` the corpus mean, but ``LEAST_RATE`` at least and ``MOST_RATE`` at most. A host with few
+documents stays near the prior and has wide bounds, so a few failures do not condemn it.
+
+Nulls: a null text is empty, null sources are one host. Empty texts have no words and fail. Repeated rows count each.
+Texts of any length are measured whole. An empty table gives an empty result. Other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -16,8 +19,10 @@ from pyspark.sql import functions as F
 
 from halyard.llm.common import SPACE, WORD, checkpointed, kept_table, sized, whole_text
 
-#: Rules and limits of the production run.
-MIN_WORDS, REPEAT_PERCENT, HOST_LIMIT = 50, 50, 0.8
+#: Rules and limits of the production run: percentages of words, of symbols by word, and of lines.
+MIN_WORDS, REPEAT_PERCENT, SYMBOL_PERCENT, LINE_PERCENT = 50, 50, 10, 30
+TIMES, LEAST_RATE, MOST_RATE, DEVIATIONS = 3.0, 0.25, 0.9, 2.0
+RULES = ("short", "repeats", "symbols", "lines")
 
 
 def repeated_words(words: Column) -> Column:
@@ -60,50 +65,62 @@ def figures(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source")) -> Da
         of_words.alias("w"),
         (F.length(text) - F.regexp_count(text, F.lit(SPACE))).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("l"),
     )
-    n, rep = F.col("w.n"), F.col("w.rep")
-    failed = (n < MIN_WORDS) | (100 * rep > REPEAT_PERCENT * n)
-    return out.select(*keep, n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", rep.alias("n_repeat_words"), failed.alias("base_failed"))
-
-
-def host_rates(scored: DataFrame, host: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
-    """Per host: its documents, failures, the rate shrunk towards the fitted beta prior, and whether it is rejected."""
-    hosts = checkpointed(scored.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed")))
-    rate = F.col("failed") / F.col("n")
-    row = hosts.agg(F.sum("failed").alias("f"), F.sum("n").alias("n"), F.var_samp(rate).alias("var"), F.avg(1 / F.col("n")).alias("inv")).first()
-    alpha, beta = beta_prior(row["f"] or 0, row["n"] or 0, row["var"], row["inv"])
-    shrunk = (F.col("failed") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta))
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_rejected", F.col("host_rate") > F.lit(float(host_limit)))
+    n, rep, dup = F.col("w.n"), F.col("w.rep"), F.col("l.dup")
+    fails = {
+        "short": n < MIN_WORDS, "repeats": 100 * rep > REPEAT_PERCENT * n, "symbols": 100 * F.col("n_symbols") > SYMBOL_PERCENT * n,
+        "lines": 100 * dup > LINE_PERCENT * F.col("l.n"),
+    }
+    figures_ = [n.alias("n_words"), "word_chars", "n_symbols", dup.alias("n_dup_lines"), rep.alias("n_repeat_words")]
+    return out.select(*keep, *figures_, (fails["short"] | fails["repeats"]).alias("base_failed"), F.struct(*(c.alias(r) for r, c in fails.items())).alias("fails"))
+
+
+def host_rates(scored: DataFrame, host: str = "source", times: float = TIMES) -> DataFrame:
+    """Per host: its documents, each rule's failures, the rates shrunk towards the fitted beta priors, and whether it is rejected."""
+    failed = [F.sum(F.col(f"fails.{r}").cast("long")).alias(f"failed_{r}") for r in RULES]
+    hosts = checkpointed(scored.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), *failed))
+    seen = [f(r).alias(f"{name}_{r}") for r in RULES for name, f in (("sum", lambda r: F.sum(f"failed_{r}")), ("var", lambda r: F.var_samp(F.col(f"failed_{r}") / F.col("n"))))]
+    row = hosts.agg(F.sum("n").alias("n"), F.avg(1 / F.col("n")).alias("inv"), *seen).first()
+    rejected, out = F.lit(False), hosts
+    for r in RULES:
+        alpha, beta = beta_prior(row[f"sum_{r}"] or 0, row["n"] or 0, row[f"var_{r}"], row["inv"])
+        mean = alpha / (alpha + beta)
+        rate, weight = F.col(f"rate_{r}"), F.col("n") + F.lit(alpha + beta)
+        out = out.withColumn(f"rate_{r}", (F.col(f"failed_{r}") + F.lit(alpha)) / weight)
+        bound = rate - F.lit(DEVIATIONS) * F.sqrt(rate * (1 - rate) / (weight + 1))
+        rejected = rejected | (bound > F.lit(min(max(times * mean, LEAST_RATE), MOST_RATE)))
+    return out.withColumn("host_rejected", rejected)
 
 
 def beta_prior(failed: int, n: int, variance: float | None, inverse: float | None) -> tuple[float, float]:
-    """Moments: the hosts' variance less what sampling alone explains; Jeffreys-like where hosts do not differ."""
+    """Moments: the hosts' variance less what sampling alone explains; a strong prior at the mean where hosts do not differ,
+    and never one of fewer than ten documents."""
     mean = (failed + 0.5) / (n + 1)
     between = (variance or 0.0) - mean * (1 - mean) * (inverse or 0.0)
     strength = mean * (1 - mean) / between - 1 if between > 1e-9 else 1e4
-    strength = min(max(strength, 1.0), 1e4)
+    strength = min(max(strength, 10.0), 1e4)
     return mean * strength, (1 - mean) * strength
 
 
-def judged(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
-    """Every row's figures and whether it is kept: no failed rule, and no rejected host."""
+def judged(docs: DataFrame, times: float = TIMES) -> DataFrame:
+    """Every row's figures, its host's shrunk rates and verdict, and whether it is kept: no failed base rule, and no rejected host."""
     scored = checkpointed(figures(docs))
-    hosts = host_rates(scored, host_limit=host_limit).select("host", "host_rate", "host_rejected")
+    hosts = host_rates(scored, times=times).select("host", "host_rejected", *(F.round(f"rate_{r}", 9).alias(f"rate_{r}") for r in RULES))
     met = scored.join(hosts, F.col("source").eqNullSafe(F.col("host")))
     kept = ~F.col("base_failed") & ~F.col("host_rejected")
-    return met.withColumn("kept", kept).withColumn("host_rate", F.round("host_rate", 9)).drop("host", "source")
+    return met.withColumn("kept", kept).drop("host", "source", "fails")
 
 
-def kept_documents(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
-    """The rows of ``docs`` that no rule and no host verdict rejects; columns as they were.
+def kept_documents(docs: DataFrame, times: float = TIMES) -> DataFrame:
+    """The rows of ``docs`` that no base rule and no host verdict rejects; columns as they were.
 
-    One pass over the texts writes the rows that no rule rejects, and of others the host alone; then the hosts' rates
-    are read from that table, and rejected hosts' rows are left out of it. No text is shuffled.
+    One pass over the texts writes the rows that no base rule rejects, and of others the host and what failed; then the
+    hosts' rates are read from that table, and rejected hosts' rows are left out of it. No text is shuffled.
     """
-    judged_rows = figures(docs.withColumn("__row", F.struct(*docs.columns)), keep=("__row",))
+    judged_rows = figures(docs.select("text", F.struct(*docs.columns).alias("__row")), keep=("__row",))
     good = F.when(~F.col("base_failed"), F.col("__row")).alias("row")
-    table = kept_table(judged_rows.select(F.col("__row.source").alias("source"), "base_failed", good))
-    hosts = host_rates(table, host_limit=host_limit).where("host_rejected").select(F.col("host").alias("rejected"))
+    table = kept_table(judged_rows.select(F.col("__row.source").alias("source"), "base_failed", "fails", good))
+    hosts = host_rates(table, times=times).where("host_rejected").select(F.col("host").alias("rejected"))
     left = table.where(~F.col("base_failed")).join(sized(checkpointed(hosts)), F.col("source").eqNullSafe(F.col("rejected")), "left_anti")
     return left.select("row.*")

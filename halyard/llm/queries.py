@@ -84,17 +84,26 @@ rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1,
 f AS (
   SELECT w.rid, doc_id, source, len(ws)::BIGINT AS n_words,
     (length(t) - len(regexp_extract_all(t, '[\x20\x09-\x0D]')))::BIGINT AS word_chars,
-    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(ls) AS n_lines,
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN rep ON w.rid = rep.rid),
-b AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM f),
-h AS (SELECT source, count(*) AS n, sum(base_failed::BIGINT) AS failed FROM b GROUP BY source),
-m AS (SELECT (sum(failed) + 0.5) / (sum(n) + 1) AS mean, coalesce(var_samp(failed / n), 0) AS v, avg(1 / n) AS inv FROM h),
-s AS (SELECT mean, least(greatest(CASE WHEN v - mean * (1 - mean) * inv > 1e-9 THEN mean * (1 - mean) / (v - mean * (1 - mean) * inv) - 1 ELSE 1e4 END, 1), 1e4) AS strength FROM m),
-r AS (SELECT source, (failed + mean * strength) / (n + strength) AS host_rate FROM h, s)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (host_rate > 0.8) AS kept, host_rate > 0.8 AS host_rejected, round(host_rate, 9) AS host_rate
-FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source
+b AS (
+  SELECT *, n_words < 50 AS short, 100 * n_repeat_words > 50 * n_words AS repeats, 100 * n_symbols > 10 * n_words AS symbols,
+    100 * n_dup_lines > 30 * n_lines AS lines FROM f),
+h AS (
+  SELECT source, unnest(['short', 'repeats', 'symbols', 'lines']) AS rule, n, unnest([a, b, c, d]) AS failed
+  FROM (SELECT source, count(*) AS n, sum(short::INT) AS a, sum(repeats::INT) AS b, sum(symbols::INT) AS c, sum(lines::INT) AS d FROM b GROUP BY source)),
+m AS (SELECT rule, (sum(failed) + 0.5) / (sum(n) + 1) AS mean, coalesce(var_samp(failed / n), 0) AS v, avg(1 / n) AS inv FROM h GROUP BY rule),
+s AS (SELECT rule, mean, least(greatest(CASE WHEN v - mean * (1 - mean) * inv > 1e-9 THEN mean * (1 - mean) / (v - mean * (1 - mean) * inv) - 1 ELSE 1e4 END, 10), 1e4) AS strength FROM m),
+r AS (SELECT source, h.rule, mean, (failed + mean * strength) / (n + strength) AS rate, n + strength AS weight FROM h JOIN s ON h.rule = s.rule),
+v AS (
+  SELECT source, bool_or(rate - 2 * sqrt(rate * (1 - rate) / (weight + 1)) > least(greatest(3 * mean, 0.25), 0.9)) AS host_rejected,
+    round(max(rate) FILTER (rule = 'short'), 9) AS rate_short, round(max(rate) FILTER (rule = 'repeats'), 9) AS rate_repeats,
+    round(max(rate) FILTER (rule = 'symbols'), 9) AS rate_symbols, round(max(rate) FILTER (rule = 'lines'), 9) AS rate_lines
+  FROM r GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed,
+  NOT (short OR repeats) AND NOT host_rejected AS kept, host_rejected, rate_short, rate_repeats, rate_symbols, rate_lines
+FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
 """
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"

@@ -449,14 +449,37 @@ def test_rules(spark, awkward, nothing):
     assert host_rules.judged(nothing).count() == 0 and host_rules.kept_documents(nothing).count() == 0
 
 
-def test_bad_host(spark, words):
+def test_bad_hosts(spark, words):
+    """A host is rejected for the rule that it breaks, by counts of its own documents, as the SQL says too."""
+    import duckdb
+
+    from halyard.llm import queries
+
     rng = random.Random(1)
-    good = [prose(rng, words, 80) for _ in range(200)]
-    texts = good + ["short"] * 99 + [good[0]] + ["short"] * 2
-    sources = [f"h{k % 4}" for k in range(200)] + ["bad"] * 100 + [None] * 2
-    got = as_rows(host_rules.judged(docs_of(spark, texts, sources)))
-    assert all(r["kept"] for r in got if r["doc_id"] < 200)
-    assert [r["kept"] for r in got if r["doc_id"] == 299] == [False]
+    good = lambda: prose(rng, words, 80)
+    line = " ".join(words[:30])
+    bad = {"short": "few words", "repeats": "a b c " * 30, "symbols": None, "lines": "\n".join([line] * 2 + [" ".join(words[30:60]), line])}
+    rows = [(good(), f"h{k % 12}") for k in range(600)] + [("few words", f"h{k % 12}") for k in range(24)]
+    for rule, text in bad.items():
+        rows += [(text or good() + " #" * 20, rule) if k % 2 else (good(), rule) for k in range(80)]
+    rows += [("few words", "small")] * 2 + [(good(), "small")] + [(None, None)] * 3
+    df = docs_of(spark, [t for t, _ in rows], [s for _, s in rows])
+    out = as_rows(host_rules.judged(df))
+    by = collections.defaultdict(set)
+    for r in out:
+        by[rows[r["doc_id"]][1]].add(r["host_rejected"])
+        assert r["kept"] == (not r["base_failed"] and not r["host_rejected"])
+    assert {s for s, v in by.items() if v == {True}} == set(bad) and all(len(v) == 1 for v in by.values())
+    assert sum(r["kept"] for r in out) == 600 + 1
+    stay = host_rules.kept_documents(df)
+    assert stay.columns == df.columns and {r["doc_id"] for r in stay.collect()} == {r["doc_id"] for r in out if r["kept"]}
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    want = con.sql(queries.HOST_RULES_SQL)
+    names = sorted(want.columns)
+    assert names == sorted(out[0])
+    at = {c: k for k, c in enumerate(want.columns)}
+    assert sorted(str([r[c] for c in names]) for r in out) == sorted(str([v[at[c]] for c in names]) for v in want.fetchall())
     alpha, beta = host_rules.beta_prior(50, 100, 0.2, 0.01)
     assert alpha > 0 and beta > 0
 
@@ -733,7 +756,8 @@ def test_pipeline(spark, sf_dir):
         before = out[name]
     ids = lambda name: {r["doc_id"] for r in out[name].select("doc_id").collect()}
     good = {r["doc_id"] for r in docs.collect() if (f := rule_figures(r["text"] or ""))[0] >= 50 and 100 * f[4] <= 50 * f[0]}
-    assert ids("quality_rules") == good
+    verdicts = {r["doc_id"] for r in host_rules.judged(docs).where("not host_rejected").collect()}
+    assert ids("quality_rules") == good & verdicts
     rows = {r["doc_id"]: r["text"] for r in out["quality_rules"].collect()}
     want = brute_components(list(rows), shingle_sets(rows.values()))
     assert ids("near_dedup") == {i for i, c in want.items() if i == c}
