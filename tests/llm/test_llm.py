@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -505,6 +506,42 @@ def test_trees():
     assert quality_gbt.Trees().fit(x[:10], np.ones(10)).score(x[:3]) == pytest.approx(0.999)
 
 
+def plain_statistics(t):
+    """The figures in plain Python."""
+    w, size = re.findall(r"[^\x20\x09-\x0D]+", t), len(t.encode())
+    if not size:
+        return [0.0] * len(quality_gbt.NAMES)
+    n, share = max(1, len(w)), lambda marks: sum(t.count(m) for m in marks) / size
+    _, _, _, _, repeated = rule_figures(t)
+    lines, low = [x for x in t.split("\n") if x.strip()], [x.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)) for x in w]
+    folded = [tuple(low[i : i + 3]) for i in range(len(low) - 2)]
+    seen = collections.Counter(folded)
+    repeated = len({i + k for i, x in enumerate(folded) if seen[x] > 1 for k in range(3)})
+    upper, lower = sum(map(t.count, string.ascii_uppercase)), sum(map(t.count, string.ascii_lowercase))
+    return [
+        math.log1p(len(w)), math.log1p(size), sum(len(x.encode()) for x in w) / n, share("#*$%&|<>"), share("0123456789"), upper / max(1, upper + lower), share(".,;:!?"),
+        t.count("!") / n, t.count("|") / n, len(set(low)) / n, repeated / n, 1 - len(set(lines)) / max(1, len(lines)), max(collections.Counter(low).values(), default=0) / n,
+        n / max(1, len(lines)), t.count(" | ") / n, sum(len(c.encode()) for c in t if c > "\x7f") / size,
+    ]
+
+
+def test_statistics(words):
+    rng = random.Random(12)
+    bits = [*words[:12], "The", "the", "1", "#", "!", " | ", "|", "\n", "\n\n", " ", " ", " ", "\t", "é", "Ä", "日本"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randint(0, 80))) for _ in range(300)] + ["", " \n ", "a b c a b c a"]
+    for t in texts:
+        assert quality_gbt.statistics(t) == pytest.approx(plain_statistics(t), abs=1e-12), t
+
+
+def test_sample_is_bounded(spark):
+    """More labelled rows than the sample: a hash cuts, repeated ids teach once, and reruns agree."""
+    x = spark.range(4000).select((F.col("id") % 3000).alias("doc_id"), F.array(*[(F.col("id") % 7 + k).cast("double") for k in range(len(quality_gbt.NAMES))]).alias("x"))
+    labels = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    one, two = (quality_gbt.fitted(df, labels, 900) for df in (x, x.repartition(5)))
+    assert np.array_equal(one.threshold, two.threshold) and np.array_equal(one.value, two.value)
+    assert quality_gbt.fitted(x, labels, 1).bias == 0.0
+
+
 def test_quality(spark, awkward, nothing, words):
     rng = random.Random(2)
     texts = [prose(rng, words, 90) if k % 2 else " ".join(rng.choice(words) + "###" for _ in range(90)) for k in range(400)]
