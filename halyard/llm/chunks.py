@@ -124,9 +124,9 @@ class ChunkEncoder:
 class Known(dict):
     """Chunks' ids, found once; what the generation before knew is taken over."""
 
-    def __init__(self, find, before=None):
+    def __init__(self, find, before=None, empty=b""):
         self.find, self.before = find, before or {}
-        super().__init__({"": b""})
+        super().__init__({"": empty})
         if before:
             before.before = {}
 
@@ -135,6 +135,13 @@ class Known(dict):
         return ids
 
 
+def simple(coder: ChunkEncoder, chunk: str) -> list[str] | None:
+    """The pre-tokens of a chunk of letters, digits and marks that any Unicode version sorts alike; None for others."""
+    if not coder.cut or not _SIMPLE.fullmatch(chunk) or any(m[0] in chunk for m in coder.marks):
+        return None
+    return coder.cut.findall(chunk)
+
+
 def kind_of(spec: dict) -> str:
     """How texts for this tokenizer may be cut: "blanks" keep the blank before a word, "words" drop white space."""
     before, form = spec.get("pre_tokenizer") or {}, spec.get("normalizer")

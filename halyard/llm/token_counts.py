@@ -1,23 +1,29 @@
 """Exact token counts of texts and of all their prefixes.
 
-Counts of whole chunks add up along a text. Inside a chunk, prefix dynamic programming has for every prefix the last
-token of its encoding: a prefix's encoding is that of the prefix before its last token, plus that token, where the two
-last tokens are ones that byte-pair merging leaves apart. So count[i] = count[i - length of last[i]] + 1, and how many
-tokens a text cut anywhere has, or where a budget ends, is looked up, not encoded again.
+Prefix dynamic programming has for every prefix of a pre-token the last token of its encoding: a prefix's encoding is
+that of the prefix before its last token, plus that token, where the two last tokens are ones that byte-pair merging leaves
+apart. So count[i] = count[i - length of last[i]] + 1. The counts of every distinct chunk of the texts, at each of its
+letters, are stored once as a table; along a text they add up. How many tokens a text has, how many it has when it is cut
+anywhere, and where a budget ends are read from the tables; nothing is encoded.
 
 Nulls: a null text is empty; doc_id may be null or repeated, a row for each row. Texts of any length are counted whole.
+An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
+from itertools import accumulate
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from halyard.llm.chunks import byte_letters, encoder, kept_by_worker, slices, tidy
+from halyard.llm.chunks import GENERATION, Known, byte_letters, encoder, kept_by_worker, simple, slices, tidy
 
 
 #: The tokenizer's white space, which is not quite Python's.
@@ -38,6 +44,7 @@ class PrefixTable:
         self.longest = max(map(len, self.vocab))
         self.apart: dict[tuple[bytes, bytes], bool] = {}
         self.words: dict[bytes, list[int]] = {}
+        self.tables = Known(self._table, empty=b"\0")
         self.path = path
 
     @property
@@ -62,32 +69,54 @@ class PrefixTable:
         return parts
 
     def stays(self, a: bytes, b: bytes) -> bool:
-        """Whether merging leaves tokens ``a`` and ``b``, side by side, as they are."""
-        if (a, b) not in self.apart:
-            if len(self.apart) > 200_000:
-                self.apart.clear()
-            self.apart[a, b] = self.merged(a + b) == [a, b]
-        return self.apart[a, b]
+        """Whether merging leaves tokens ``a`` (or nothing) and ``b``, side by side, as they are."""
+        if len(self.apart) > 1_000_000:
+            self.apart.clear()
+        self.apart[a, b] = stay = self.merged(a + b) == ([a, b] if a else [b])
+        return stay
 
     def counts(self, word: bytes) -> list[int]:
         """Tokens of every prefix of one pre-token, by its bytes."""
         if word in self.words:
             return self.words[word]
         count, last = [0], [b""]
+        vocab, apart, longest = self.vocab, self.apart, self.longest
         for end in range(1, len(word) + 1):
-            for size in range(min(end, self.longest), 0, -1):
-                token, before = word[end - size : end], last[end - size]
-                if token in self.vocab and ((self.merged(token) == [token]) if not before else self.stays(before, token)):
-                    count.append(count[end - size] + 1)
-                    last.append(token)
-                    break
+            for start in range(max(0, end - longest), end):
+                token = word[start:end]
+                if token in vocab:
+                    pair = last[start], token
+                    if (apart[pair] if pair in apart else self.stays(*pair)):
+                        count.append(count[start] + 1)
+                        last.append(token)
+                        break
             else:
                 raise ValueError("no token ends here")
-        if len(self.words) > 100_000:
-            self.words.clear()
-        self.words[word] = count
+        if len(word) < 40:  # parts of chunks recur
+            if len(self.words) > 100_000:
+                self.words.clear()
+            self.words[word] = count
         return count
 
+    def table(self, chunks: list[str]) -> Iterator[Sequence[int]]:
+        """The stored counts of each chunk: of its prefixes of 0, 1, ... letters."""
+        if len(self.tables) > GENERATION:
+            self.tables = Known(self._table, self.tables, empty=b"\0")
+        return map(self.tables.__getitem__, chunks)
+
+    def _table(self, chunk: str) -> Sequence[int]:
+        out = [0]
+        if (parts := simple(self.coder, chunk)) is None:
+            out = self.text_counts(chunk).tolist()
+        else:
+            for part in parts:
+                base = out[-1]
+                own = self.by_letter(part)
+                out += [base + n for n in own[1:]]
+                if len(part) == 3 and part[0] == "'":  # a contraction in the making: the apostrophe and a letter
+                    out[-2] = base + 2
+        return bytes(out) if out[-1] < 256 else array("I", out)
+
     def text_counts(self, text: str) -> np.ndarray:
         """Tokens of text[:k] for k from 0 to its length. Special strings count as one token from their end on."""
         out, base, plain = [0], 0, ""
@@ -135,16 +164,17 @@ class PrefixTable:
         ends = np.cumsum([len(c.encode()) for c in word]).tolist()
         return [0, *(count[e] for e in ends)]
 
-    def fits(self, chunks: list[str], sizes: np.ndarray, limit: int) -> int:
+    def fits(self, chunks: list[str], tables: list[Sequence[int]], limit: int) -> int:
         """Letters of the longest prefix of the chunks' text with at most ``limit`` tokens."""
-        total = np.cumsum(sizes)
-        if not len(total) or total[-1] <= limit:
+        total = list(accumulate(map(itemgetter(-1), tables)))
+        if not total or total[-1] <= limit:
             return sum(map(len, chunks))
-        first = end = int(np.searchsorted(total, limit, side="right"))  # the chunk that the budget ends in
+        first = end = bisect_right(total, limit)  # the chunk that the budget ends in
         while first and not chunks[first].strip():  # white space is one pre-token where a prefix ends in it
             first -= 1
-        own = (int(total[first - 1]) if first else 0) + self.text_counts("".join(chunks[first : end + 1]))
-        return sum(map(len, chunks[:first])) + int(np.flatnonzero(own <= limit)[-1])
+        own = tables[end] if first == end else self.text_counts("".join(chunks[first : end + 1])).tolist()
+        left = limit - (total[first - 1] if first else 0)
+        return sum(map(len, chunks[:first])) + max(k for k, n in enumerate(own) if n <= left)
 
 
 def table(path: str) -> PrefixTable:
@@ -159,7 +189,6 @@ def counted(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
 
         prefixes = table(path)
         coder = prefixes.coder
-        size = coder.dtype.itemsize
         for batch in batches:
             for at, texts in slices(batch.column(1)):
                 rows = []
@@ -168,9 +197,9 @@ def counted(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
                         total = prefixes.text_counts(text)
                         rows.append((int(total[-1]), int(np.flatnonzero(total <= limit)[-1])))
                         continue
-                    sizes = np.fromiter(map(len, coder.ids(own)), np.int64, len(own)) // size
-                    n = int(sizes.sum())
-                    rows.append((n, len(text) if n <= limit else prefixes.fits(own, sizes, limit)))
+                    tables = list(prefixes.table(own))
+                    n = sum(map(itemgetter(-1), tables))
+                    rows.append((n, len(text) if n <= limit else prefixes.fits(own, tables, limit)))
                 tokens, fits = zip(*rows, strict=True)
                 names = batch.column(0).slice(at, len(texts))
                 n_bytes = pa.array([len(t.encode()) for t in texts], pa.int64())

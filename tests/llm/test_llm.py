@@ -586,9 +586,12 @@ def test_prefix_counts(odd_texts):
         want = [encode(t[:k]) for k in range(len(t) + 1)]
         assert table.text_counts(t).tolist() == want
         if (own := table.coder.chunks(t)) is not None:
-            sizes = np.array([len(x) // 2 for x in table.coder.ids(own)])
+            tables = list(table.table(own))
+            assert sum(x[-1] for x in tables) == want[-1]
+            for chunk, counts in zip(own, tables, strict=True):
+                assert list(counts) == [encode(chunk[:k]) for k in range(len(chunk) + 1)]
             for limit in (0, 1, 3, 6):
-                assert table.fits(own, sizes, limit) == max(k for k, n in enumerate(want) if n <= limit)
+                assert table.fits(own, tables, limit) == max(k for k, n in enumerate(want) if n <= limit)
 
 
 def test_token_counts(spark, awkward, nothing, odd_texts):
