@@ -2,17 +2,22 @@
 
 Documents with equal shingle sets are one class, found by a 128-bit print of the set; only one document of a class goes
 on. Its signature is cut into bands; classes that share a band are candidates. Candidates are compared in cells of
-bounded size: signature hashes a few at a time, giving a pair up as soon as the posterior probability that its
-similarity reaches the threshold is below ``miss``; survivors are verified on their full sets.
+bounded size and weight. First by signatures alone: a few hashes at a time, giving a pair up as soon as the posterior
+probability that its similarity reaches the threshold is below ``miss``. Members left with a partner are survivors; only
+their full sets are moved, and verify the pairs exactly.
 
 A cell gives a spanning forest of its links, so a group of g copies yields at most g - 1 links for each cell it is in.
-Groups too large for a cell are first compared with a few of their members; what these do not join is then compared
-with all of the group, block by block. Thus every candidate pair is either verified or known to be connected, and no
-group's pairs are listed. There are as many bands as it takes to miss a pair at the threshold with probability 3e-6.
+Groups too large for a cell are first compared with a few of their members. What these do not join, outside a group's
+largest component, is then looked for by a second band: members of the group that share another band too are a smaller
+group, compared in the same way, down to ``LEVELS`` bands; a linked pair shares no other band with probability 5e-6. Groups
+that are large even then are compared block by block. Thus every candidate pair is either compared or known to be
+connected, and no group's pairs are listed. There are as many bands as it takes to miss a pair at the threshold with
+probability 3e-6.
 
 Nulls: null and empty texts, and texts without words, have no shingles and no links. Rows with the same doc_id count as
 one document. Rows without doc_id take part only through a class that also has a doc_id; otherwise their component is
-null and they are kept. An empty table gives an empty result. Other columns are ignored.
+null and they are kept. Texts of any length are shingled whole; long ones weigh as several in a cell. An empty table gives
+an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +36,8 @@ from halyard.llm.shingles import Signer, set_print, shingle_set
 
 BANDS, ROWS, HASHES, STEP = 40, 8, 128, 16  # 40 bands are those of a threshold of 0.85
 ESCAPE = 3e-6
-CELL, CENTERS = 256, 4
+#: Rows of a cell, of ``ROW_BYTES`` of shingles each; members that a large group is compared with first; bands that divide it.
+CELL, ROW_BYTES, CENTERS, LEVELS = 256, 1 << 18, 4, 3
 
 
 def bands_for(percent: int) -> int:
@@ -72,7 +78,7 @@ def signed(docs: DataFrame, k: int = 5, bands: int = BANDS) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, k: int = 5) -> DataFrame:
-    """Per row: rep, sig, shingles (both as bytes)."""
+    """Per row: rep, n (shingles), sig, shingles (both as bytes)."""
 
     def sets(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -81,34 +87,80 @@ def sets_of(docs: DataFrame, k: int = 5) -> DataFrame:
         for batch in batches:
             for at, texts in slices(batch.column(1)):
                 own = [shingle_set(text.encode(), k) for text in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([signer.sign(x)[1] for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], ["rep", "sig", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(x) for x in own], pa.int64()), pa.array([signer.sign(x)[1] for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], ["rep", "n", "sig", "shingles"])
         tidy()
 
-    return docs.select("doc_id", "text").mapInArrow(sets, "rep long, sig binary, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(sets, "rep long, n long, sig binary, shingles binary")
 
 
-def cell_links(cells: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Links (a, b) of cells: rows cell, side, whole, rep, sig, shingles, at most a few hundred to a cell.
+def likely_pairs(rep: list[int], side: list[int], whole: bool, sigs: list[bytes], size: np.ndarray, percent: int, least: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a cell's rows that may reach the threshold, and how many hashes they share. A cell that is ``whole``
+    compares all its rows, another one only rows of different sides."""
+    reps, sides, hashes = np.array(rep), np.array(side), np.frombuffer(b"".join(sigs), "<u2").reshape(len(sigs), -1)
+    i, j = np.triu_indices(len(sigs), 1)
+    # A center is also a row of its group.
+    fit = (np.minimum(size[i], size[j]) * 100 >= np.maximum(size[i], size[j]) * percent) & (reps[i] != reps[j])
+    if not whole:
+        fit &= sides[i] != sides[j]
+    i, j = i[fit], j[fit]
+    equal = np.zeros(len(i), np.int64)
+    for at, fewest in zip(range(0, HASHES, STEP), least, strict=True):
+        equal += (hashes[i, at : at + STEP] == hashes[j, at : at + STEP]).sum(axis=1)
+        likely = equal >= fewest
+        i, j, equal = i[likely], j[likely], equal[likely]
+    return i, j, equal
+
+
+def _by_cell(cells: DataFrame, columns: list[str], schema: str, result) -> DataFrame:
+    """``result(rows)`` of the rows of each cell, in order of rep, as rows of ``schema``."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def compare(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+        kinds = [types[c.split()[1]] for c in schema.split(", ")]
+        cell, rows = None, []
+
+        def out(found: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)], names)
+
+        for batch in batches:
+            found = []
+            for key, *row in zip(*(batch.column(c) for c in ("cell", *columns)), strict=True):
+                if (key := key.as_py()) != cell:
+                    found += result(cell, rows) if len(rows) > 1 else []
+                    cell, rows = key, []
+                rows.append(tuple(x.as_py() for x in row))
+            yield out(found)
+        if len(rows) > 1:
+            yield out(list(result(cell, rows)))
+        tidy()
+
+    parts = max(1, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = cells.select("cell", *columns).repartition(parts, "cell").sortWithinPartitions("cell", "rep")
+    return dealt.mapInArrow(compare, schema)
+
+
+def survivors(cells: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Of cells (cell, side, whole, rep, n, sig) the rows that have a likely partner: cell, side, whole, rep."""
+    least = least_matches(percent, miss)
+
+    def left(cell: int, rows: list[tuple]) -> Iterator[tuple]:
+        i, j, _ = likely_pairs([r[2] for r in rows], [r[0] for r in rows], rows[0][1], [r[4] for r in rows], np.array([r[3] for r in rows]), percent, least)
+        for k in np.union1d(i, j).tolist():
+            yield cell, *rows[k][:3]
+
+    return _by_cell(cells, ["side", "whole", "rep", "n", "sig"], "cell long, side int, whole boolean, rep long", left)
+
 
-    A cell that is ``whole`` compares all its rows, another one only rows of different sides.
-    """
+def cell_links(cells: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Links (a, b) of cells: rows cell, side, whole, rep, sig, shingles, at most a few hundred to a cell."""
     least = least_matches(percent, miss)
 
-    def joined(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        sides = np.array([r[0] for r in rows])
-        sigs = np.frombuffer(b"".join(r[3] for r in rows), "<u2").reshape(len(rows), -1)
+    def joined(cell: int, rows: list[tuple]) -> Iterator[tuple[int, int]]:
         sets = [np.frombuffer(r[4], np.uint64) for r in rows]
-        size = np.array([len(x) for x in sets])
-        i, j = np.triu_indices(len(rows), 1)
-        fit = np.minimum(size[i], size[j]) * 100 >= np.maximum(size[i], size[j]) * percent
-        if not rows[0][1]:
-            fit &= sides[i] != sides[j]
-        i, j = i[fit], j[fit]
-        equal = np.zeros(len(i), np.int64)
-        for at, fewest in zip(range(0, HASHES, STEP), least, strict=True):
-            equal += (sigs[i, at : at + STEP] == sigs[j, at : at + STEP]).sum(axis=1)
-            likely = equal >= fewest
-            i, j, equal = i[likely], j[likely], equal[likely]
+        i, j, equal = likely_pairs([r[2] for r in rows], [r[0] for r in rows], rows[0][1], [r[3] for r in rows], np.array([len(x) for x in sets]), percent, least)
         root = list(range(len(rows)))
 
         def find(x: int) -> int:
@@ -125,39 +177,22 @@ def cell_links(cells: DataFrame, percent: int, miss: float) -> DataFrame:
                     root[p] = q
                     yield rows[x][2], rows[y][2]
 
-    def compare(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        cell, rows = None, []
-
-        def out(links: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-        for batch in batches:
-            links = []
-            for key, *row in zip(*(batch.column(c) for c in ("cell", "side", "whole", "rep", "sig", "shingles")), strict=True):
-                if (key := key.as_py()) != cell:
-                    links += joined(rows) if len(rows) > 1 else []
-                    cell, rows = key, []
-                rows.append(tuple(x.as_py() for x in row))
-            yield out(links)
-        if len(rows) > 1:
-            yield out(list(joined(rows)))
-        tidy()
-
-    parts = max(1, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = cells.repartition(parts, "cell").sortWithinPartitions("cell", "rep")
-    return dealt.mapInArrow(compare, "a long, b long")
+    return _by_cell(cells, ["side", "whole", "rep", "sig", "shingles"], "a long, b long", joined)
 
 
 def memberships(reps: DataFrame) -> DataFrame:
-    """``reps`` (rep, bands) to (key, rep, g): the bands' groups of two and more, each set of members once."""
-    dealt = reps.select("rep", F.explode("bands").alias("key"))
+    """``reps`` (rep, w, bands) to (key, at, rep, w, g): the groups of two and more at each place of the bands."""
+    dealt = reps.select("rep", "w", F.posexplode("bands").alias("at", "key"))
     multiple = checkpointed(dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k")))
-    members = checkpointed(dealt.join(sized(multiple), F.col("key") == F.col("k"), "left_semi").distinct())
-    groups = members.groupBy("key").agg(F.count("*").alias("g"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("h"), F.min("rep").alias("r"))
-    once = groups.where("g > 1").groupBy("g", "h", "r").agg(F.min("key").alias("k")).select("k", "g")
-    return checkpointed(members.join(once, F.col("key") == F.col("k")).select("key", "rep", "g"))
+    return grouped(checkpointed(dealt.join(sized(multiple), F.col("key") == F.col("k"), "left_semi").distinct()))
+
+
+def grouped(members: DataFrame) -> DataFrame:
+    """``members`` (key, at, rep, w) of groups of two and more, with their weight g; each set of members once, at its first place."""
+    groups = members.groupBy("key", "at").agg(F.count("*").alias("n"), F.ceil(F.sum("w")).alias("g"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("h"), F.min("rep").alias("r"))
+    once = groups.where("n > 1").groupBy("n", "h", "r").agg(F.min(F.struct("at", "key")).alias("first"), F.max("g").alias("g"))
+    once = checkpointed(once.select(F.col("first.key").alias("k"), "g"))
+    return checkpointed(members.join(sized(once), F.col("key") == F.col("k")).select("key", "at", "rep", "w", "g"))
 
 
 def _number(*parts) -> Column:
@@ -183,18 +218,37 @@ def star_cells(members: DataFrame) -> DataFrame:
     return block.unionByName(spread).select(_number("key", "b", F.lit("star")).alias("cell"), "side", F.lit(False).alias("whole"), "rep")
 
 
-def rest_cells(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """Large groups after the stars: members outside a group's main component against all of the group, by blocks."""
-    large = members.where(F.col("g") > CELL).join(parts, F.col("rep") == F.col("node"), "left")
-    large = checkpointed(large.select("key", "rep", F.coalesce("component", "rep").alias("comp")))
-    sizes = large.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy(F.col("key").alias("k")).agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("nv"), F.sum("n").alias("g"))
-    main = main.where("g > nv").select("k", "main", F.ceil(F.col("nv") / CELL).cast("long").alias("bv"), F.ceil((F.col("g") - F.col("nv")) / CELL).cast("long").alias("bu"))
-    met = large.join(main, F.col("key") == F.col("k"))
+def unjoined(large: DataFrame, parts: DataFrame) -> DataFrame:
+    """Of large groups (key, at, rep, w, g) that ``parts`` (node, component) leaves apart: key, at, rep, w, main (whether the row
+    is in the group's heaviest component), comp, bv and bu, the cells that those inside and outside of it fill."""
+    met = large.join(parts, F.col("rep") == F.col("node"), "left")
+    met = checkpointed(met.select("key", "at", "rep", "w", F.coalesce("component", "rep").alias("comp")))
+    sizes = met.groupBy("key", "comp").agg(F.sum("w").alias("n"))
+    main = sizes.groupBy(F.col("key").alias("k")).agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("nv"), F.sum("n").alias("all"), F.count("*").alias("comps"))
+    cells = lambda n: F.greatest(F.ceil(n / CELL), F.lit(1)).cast("long")
+    main = main.where("comps > 1").select("k", "main", cells(F.col("nv")).alias("bv"), cells(F.col("all") - F.col("nv")).alias("bu"))
+    return checkpointed(met.join(sized(checkpointed(main)), F.col("key") == F.col("k")).select("key", "at", "rep", "w", "comp", (F.col("comp") == F.col("main")).alias("main"), "bv", "bu"))
+
+
+def divided(apart: DataFrame, reps: DataFrame) -> DataFrame:
+    """Groups of ``unjoined`` divided by a band at a later place: (key, at, rep, w, g) of those that join members from outside
+    the main component with any others. Rows grow with the groups' members and the places of the bands."""
+    bands = reps.select(F.col("rep").alias("r"), "bands")
+    met = apart.join(bands, F.col("rep") == F.col("r")).select("key", "at", "rep", "w", "comp", "main", F.posexplode("bands").alias("then", "band"))
+    dealt = met.where("then > at").select(_number("key", "band").alias("key"), F.col("then").alias("at"), "rep", "w", "comp", "main")
+    outside = checkpointed(dealt.where("not main"))
+    wanted = checkpointed(outside.select(F.col("key").alias("k")).distinct())
+    inside = dealt.where("main").join(sized(wanted), F.col("key") == F.col("k"), "left_semi")
+    members = checkpointed(outside.unionByName(inside))
+    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
+    return grouped(members.join(sized(checkpointed(mixed)), F.col("key") == F.col("k"), "left_semi").select("key", "at", "rep", "w"))
+
+
+def block_cells(apart: DataFrame) -> DataFrame:
+    """Groups of ``unjoined``: members outside the main component against all of the group, by blocks."""
     zero = F.lit(0).cast("long")
-    inside, outside = met.where("comp = main"), met.where("comp <> main")
-    own = outside.withColumn("b", F.pmod(F.xxhash64("rep", "key"), F.col("bu")))
-    theirs = inside.withColumn("b", F.pmod(F.xxhash64("rep", "key"), F.col("bv")))
+    own = apart.where("not main").withColumn("b", F.pmod(F.xxhash64("rep", "key"), F.col("bu")))
+    theirs = apart.where("main").withColumn("b", F.pmod(F.xxhash64("rep", "key"), F.col("bv")))
     shape = lambda df, name, i, j, side, whole: df.select(_number("key", F.lit(name), i, j).alias("cell"), side.alias("side"), whole.alias("whole"), "rep")
     each = lambda n: F.explode(F.sequence(zero, F.col(n) - 1)).alias("o")
     columns = ["key", "rep", "b", "bu", "bv"]
@@ -210,24 +264,44 @@ def rest_cells(members: DataFrame, parts: DataFrame) -> DataFrame:
     )
 
 
+def group_links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Links (a, b) among the members (key, at, rep, w, g) of groups. ``reps`` has (rep, bands), ``sets`` (rep, n, sig, shingles)."""
+
+    def found(cells: DataFrame) -> DataFrame:
+        def beside(what: DataFrame, rows: DataFrame) -> DataFrame:
+            return what.withColumnRenamed("rep", "s").join(sized(rows), F.col("rep") == F.col("s")).drop("s")
+
+        left = checkpointed(survivors(beside(sets.select("rep", "n", "sig"), checkpointed(cells)), percent, miss))
+        return checkpointed(cell_links(beside(sets.select("rep", "sig", "shingles"), left), percent, miss))
+
+    links = found(small_cells(members))
+    for level in range(LEVELS):
+        large = members.where(F.col("g") > CELL)
+        if not large.limit(1).count():
+            break
+        links = links.unionByName(found(star_cells(members)))
+        apart = unjoined(large, components(links))
+        if not apart.limit(1).count():
+            break
+        if level == LEVELS - 1:
+            return links.unionByName(found(block_cells(apart)))
+        members = divided(apart, reps)
+        links = links.unionByName(found(small_cells(members)))
+    return links
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, miss: float = 1e-9) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept."""
     signs = kept_table(signed(docs, k, bands_for(percent)))
     some = signs.where("n > 0")
     classes = checkpointed(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")))
     firsts = classes.where("rep is not null").select(F.col("rep").alias("r"))
-    reps = some.join(sized(firsts), F.col("doc_id") == F.col("r"), "left_semi").select(F.col("doc_id").alias("rep"), "bands")
+    weight = F.greatest(F.lit(1.0), F.col("n") * F.lit(8.0 / ROW_BYTES)).alias("w")
+    reps = some.join(sized(firsts), F.col("doc_id") == F.col("r"), "left_semi").select(F.col("doc_id").alias("rep"), weight, "bands")
     members = memberships(reps)
     active = checkpointed(members.select(F.col("rep").alias("r")).distinct())
     named = docs.select("doc_id", "text").where("doc_id is not null").join(sized(active), F.col("doc_id") == F.col("r"), "left_semi")
-    sets = kept_table(sets_of(named, k))
-    with_sets = lambda cells: sets.withColumnRenamed("rep", "s").join(sized(checkpointed(cells)), F.col("rep") == F.col("s")).drop("s")
-    links = checkpointed(cell_links(with_sets(small_cells(members)), percent, miss))
-    if members.where(F.col("g") > CELL).limit(1).count():
-        star = checkpointed(cell_links(with_sets(star_cells(members)), percent, miss))
-        links = links.unionByName(star)
-        rest = checkpointed(cell_links(with_sets(rest_cells(members, components(links))), percent, miss))
-        links = links.unionByName(rest)
+    links = group_links(members, reps, kept_table(sets_of(named, k)), percent, miss)
     found = checkpointed(components(links))
     placed = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("f1").alias("p1"), F.col("f2").alias("p2"), F.coalesce("component", "rep").alias("component_id"))
     linked = some.select("doc_id", "n", "f1", "f2").join(placed, (F.col("f1") == F.col("p1")) & (F.col("f2") == F.col("p2")))

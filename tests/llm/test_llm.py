@@ -315,6 +315,26 @@ def test_near_duplicates_awkward(awkward, nothing):
     assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in got if r["kept"]}
 
 
+def test_hot_band(spark):
+    """A band that many unlinked documents share costs rows in proportion, and loses no linked pair."""
+    rng = np.random.default_rng(5)
+    n, bands = 3000, rng.integers(1, 1 << 60, (3000, near_dup.BANDS))
+    bands[:, 0], bands[7, 1], bands[11, 1] = 7, 8, 8  # rows 7 and 11 share two bands
+    shingle_rows = [np.unique(rng.integers(0, 1 << 62, 40, dtype=np.uint64)) for _ in range(n)]
+    shingle_rows[11] = shingle_rows[7]
+    signer = shingles.Signer(near_dup.BANDS, near_dup.ROWS, near_dup.HASHES)
+    reps = spark.createDataFrame([(k, 1.0, bands[k].tolist()) for k in range(n)], "rep long, w double, bands array<long>").cache()
+    sets = spark.createDataFrame([(k, len(x), bytearray(signer.sign(x)[1]), bytearray(x.tobytes())) for k, x in enumerate(shingle_rows)], "rep long, n long, sig binary, shingles binary").cache()
+    members = near_dup.memberships(reps)
+    assert members.where("g > 256").count() == n and near_dup.star_cells(members).count() < 1.1 * n
+    apart = near_dup.unjoined(members.where("g > 256"), components(spark.createDataFrame([], "a long, b long")))
+    assert apart.count() == n and near_dup.divided(apart, reps).count() == 2
+    links = near_dup.group_links(members, reps, sets, 85, 1e-9).collect()
+    assert {tuple(sorted(r)) for r in links} == {(7, 11)}
+    heavy = near_dup.memberships(reps.where("rep < 20").withColumn("w", F.lit(100.0)))
+    assert {r["g"] for r in heavy.collect()} >= {2000}  # long documents fill cells sooner
+
+
 def test_bands_follow_the_threshold():
     assert near_dup.bands_for(85) == near_dup.BANDS
     for percent in (50, 80, 85, 95):
