@@ -8,7 +8,8 @@ their full sets are moved, and verify the pairs exactly.
 
 A cell gives a spanning forest of its links, so a group of g copies yields at most g - 1 links for each cell it is in.
 Groups too large for a cell are first compared with a few of their members. What these do not join, outside a group's
-largest component, is then looked for by a second band: members of the group that share another band too are a smaller
+largest component, is compared with all of the group, block by block, if it fills few cells: that costs rows in proportion
+to the group. Otherwise it is looked for by a second band: members of the group that share another band too are a smaller
 group, compared in the same way, down to ``LEVELS`` bands; a linked pair shares no other band with probability 5e-6. Groups
 that are large even then are compared block by block. Thus every candidate pair is either compared or known to be
 connected, and no group's pairs are listed. There are as many bands as it takes to miss a pair at the threshold with
@@ -37,7 +38,8 @@ from halyard.llm.shingles import Signer, set_print, shingle_set
 BANDS, ROWS, HASHES, STEP = 40, 8, 128, 16  # 40 bands are those of a threshold of 0.85
 ESCAPE = 3e-6
 #: Rows of a cell, of ``ROW_BYTES`` of shingles each; members that a large group is compared with first; bands that divide it.
-CELL, ROW_BYTES, CENTERS, LEVELS = 256, 1 << 18, 4, 3
+#: Groups with OUTSIDE cells of members outside their largest component or fewer are compared block by block at once.
+CELL, ROW_BYTES, CENTERS, LEVELS, OUTSIDE = 256, 1 << 18, 4, 3, 4
 
 
 def bands_for(percent: int) -> int:
@@ -281,10 +283,12 @@ def group_links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: i
             break
         links = links.unionByName(found(star_cells(members)))
         apart = unjoined(large, components(links))
-        if not apart.limit(1).count():
+        few = apart if level == LEVELS - 1 else apart.where(F.col("bu") <= OUTSIDE)
+        if few.limit(1).count():
+            links = links.unionByName(found(block_cells(few)))
+        apart = apart.where(F.col("bu") > OUTSIDE)
+        if level == LEVELS - 1 or not apart.limit(1).count():
             break
-        if level == LEVELS - 1:
-            return links.unionByName(found(block_cells(apart)))
         members = divided(apart, reps)
         links = links.unionByName(found(small_cells(members)))
     return links

@@ -614,6 +614,18 @@ def test_prefix_counts(odd_texts):
                 assert table.fits(own, tables, limit) == max(k for k, n in enumerate(want) if n <= limit)
 
 
+def test_growth_of_tokens(odd_texts):
+    """Whether two tokens stay apart, by their growth and by merging their bytes."""
+    table = token_counts.PrefixTable(path("byte_bpe_50k.json"))
+    assert table.ordered
+    rng, tokens = random.Random(3), sorted(table.vocab)
+    pairs = [(rng.choice(tokens), rng.choice(tokens)) for _ in range(4000)] + [(a, b) for a in (b"a", b"aa", b" ", b"  ", b"the", b" the") for b in tokens[::40]]
+    for a, b in pairs:
+        if table.merged(a) == [a]:
+            assert table.stays(a, b) == (table.merged(a + b) == [a, b]), (a, b)
+        assert table.stays(b"", a) == (table.merged(a) == [a])
+
+
 def test_token_counts(spark, awkward, nothing, odd_texts):
     name = path("byte_bpe_50k.json")
     tokenizer = chunks.ChunkEncoder(name).tokenizer
