@@ -30,6 +30,10 @@ from halyard.llm.chunks import GENERATION, Known, byte_letters, encoder, kept_by
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
+#: Lengths in bytes of the prefixes whose state is kept for other words.
+KEPT = (5,)
+
+
 class PrefixTable:
     """Prefix counts for byte-level BPE without normalizer."""
 
@@ -42,6 +46,10 @@ class PrefixTable:
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.rank = {(bytes(back[c] for c in a), bytes(back[c] for c in b)): k for k, (a, b) in enumerate(pairs)}
         self.longest = max(map(len, self.vocab))
+        born = {a + b: k for (a, b), k in self.rank.items()}
+        self.ordered = all(born.get(t, -1) < k for pair, k in self.rank.items() for t in pair)  # tokens are made before they are used
+        self.grown: dict[bytes, tuple[list, list] | None] = {}
+        self.states: dict[bytes, tuple[list[int], list[bytes]]] = {}
         self.apart: dict[tuple[bytes, bytes], bool] = {}
         self.words: dict[bytes, list[int]] = {}
         self.tables = Known(self._table, empty=b"\0")
@@ -68,30 +76,78 @@ class PrefixTable:
             parts = out
         return parts
 
+    def growth(self, token: bytes) -> tuple[list, list] | None:
+        """How the token's first and last parts grow while its bytes are merged, as (part, rank of the merge that made it);
+        None if merging does not give the token."""
+        if token not in self.grown:
+            parts, first, last = [token[i : i + 1] for i in range(len(token))], [(token[:1], -1)], [(token[-1:], -1)]
+            while len(parts) > 1:
+                rank, pair = min((self.rank.get(pair, 1 << 40), pair) for pair in zip(parts, parts[1:]))
+                if rank == 1 << 40:
+                    break
+                out: list[bytes] = []
+                for part in parts:  # the leftmost of overlapping pairs is merged
+                    if out and open_ and (out[-1], part) == pair:
+                        out[-1], open_ = out[-1] + part, False
+                    else:
+                        out.append(part)
+                        open_ = True
+                first += [(out[0], rank)] if out[0] != parts[0] else []
+                last += [(out[-1], rank)] if out[-1] != parts[-1] else []
+                parts = out
+            self.grown[token] = (first, last) if len(parts) == 1 else None
+        return self.grown[token]
+
     def stays(self, a: bytes, b: bytes) -> bool:
-        """Whether merging leaves tokens ``a`` (or nothing) and ``b``, side by side, as they are."""
+        """Whether merging leaves tokens ``a`` (or nothing) and ``b``, side by side, as they are: whether no merge across
+        their border comes before the parts at it have grown on."""
         if len(self.apart) > 1_000_000:
             self.apart.clear()
-        self.apart[a, b] = stay = self.merged(a + b) == ([a, b] if a else [b])
+        if not self.ordered:
+            stay = self.merged(a + b) == ([a, b] if a else [b])
+        elif not a or self.growth(b) is None:
+            stay = self.growth(b) is not None
+        else:
+            lefts, rights, i, j, never = self.growth(a)[1], self.growth(b)[0], 0, 0, 1 << 41
+            while True:
+                left = lefts[i + 1][1] if i + 1 < len(lefts) else never
+                right = rights[j + 1][1] if j + 1 < len(rights) else never
+                across = self.rank.get((lefts[i][0], rights[j][0]), never)
+                if across < left and across <= right and across < never:
+                    stay = False
+                    break
+                if left == right == never:
+                    stay = True
+                    break
+                i, j = (i + 1, j) if left <= right else (i, j + 1)
+        self.apart[a, b] = stay
         return stay
 
     def counts(self, word: bytes) -> list[int]:
-        """Tokens of every prefix of one pre-token, by its bytes."""
+        """Tokens of every prefix of one pre-token, by its bytes. Prefixes that other words had are looked up."""
         if word in self.words:
             return self.words[word]
         count, last = [0], [b""]
-        vocab, apart, longest = self.vocab, self.apart, self.longest
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
+        vocab, apart, longest, states = self.vocab, self.apart, self.longest, self.states
+        for size in KEPT:
+            if size < len(word) and (state := states.get(word[:size])):
+                count, last = state[0][:], state[1][:]
+                break
+        for end in range(len(count), len(word) + 1):
+            for start in range(end - longest if end > longest else 0, end):
                 token = word[start:end]
                 if token in vocab:
                     pair = last[start], token
-                    if (apart[pair] if pair in apart else self.stays(*pair)):
+                    if apart[pair] if pair in apart else self.stays(*pair):
                         count.append(count[start] + 1)
                         last.append(token)
                         break
             else:
                 raise ValueError("no token ends here")
+            if end in KEPT:
+                states[word[:end]] = count[:], last[:]
+        if len(states) > 200_000:
+            states.clear()
         if len(word) < 40:  # parts of chunks recur
             if len(self.words) > 100_000:
                 self.words.clear()
@@ -100,19 +156,24 @@ class PrefixTable:
 
     def table(self, chunks: list[str]) -> Iterator[Sequence[int]]:
         """The stored counts of each chunk: of its prefixes of 0, 1, ... letters."""
+        self.coding = self.coder
         if len(self.tables) > GENERATION:
             self.tables = Known(self._table, self.tables, empty=b"\0")
         return map(self.tables.__getitem__, chunks)
 
     def _table(self, chunk: str) -> Sequence[int]:
         out = [0]
-        if (parts := simple(self.coder, chunk)) is None:
+        if (parts := simple(self.coding, chunk)) is None:
             out = self.text_counts(chunk).tolist()
+        elif len(parts) == 1 and chunk[0] != "'":
+            out = self.by_letter(chunk)
         else:
             for part in parts:
                 base = out[-1]
-                own = self.by_letter(part)
-                out += [base + n for n in own[1:]]
+                if len(part) == 1:  # a letter or mark alone
+                    out.append(base + self.by_letter(part)[1])
+                    continue
+                out += [base + n for n in self.by_letter(part)[1:]]
                 if len(part) == 3 and part[0] == "'":  # a contraction in the making: the apostrophe and a letter
                     out[-2] = base + 2
         return bytes(out) if out[-1] < 256 else array("I", out)
@@ -159,10 +220,13 @@ class PrefixTable:
     def by_letter(self, word: str) -> list[int]:
         """Tokens of word[:k]. A prefix always ends between letters."""
         count = self.counts(word.encode())
-        if len(count) == len(word) + 1:
+        if word.isascii():
             return count
-        ends = np.cumsum([len(c.encode()) for c in word]).tolist()
-        return [0, *(count[e] for e in ends)]
+        out, end = [0], 0
+        for c in word:
+            end += 1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
+            out.append(count[end])
+        return out
 
     def fits(self, chunks: list[str], tables: list[Sequence[int]], limit: int) -> int:
         """Letters of the longest prefix of the chunks' text with at most ``limit`` tokens."""
