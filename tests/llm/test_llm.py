@@ -264,7 +264,7 @@ def shingle_sets(texts, k=5):
     return out
 
 
-def brute_components(ids, sets):
+def brute_components(ids, sets, percent=85):
     root = {i: i for i in ids if i is not None}
 
     def find(x):
@@ -273,7 +273,7 @@ def brute_components(ids, sets):
         return x
 
     for (i, a), (j, b) in itertools.combinations([(i, s) for i, s in zip(ids, sets, strict=True) if i is not None and s], 2):
-        if i != j and 100 * len(a & b) >= 85 * len(a | b):
+        if i != j and 100 * len(a & b) >= percent * len(a | b):
             p, q = find(i), find(j)
             root[max(p, q)] = min(p, q)
     return {i: find(i) for i in root}
@@ -831,7 +831,7 @@ def test_pipeline(spark, sf_dir):
     verdicts = {r["doc_id"] for r in host_rules.judged(docs).where("not host_rejected").collect()}
     assert ids("quality_rules") == good & verdicts
     rows = {r["doc_id"]: r["text"] for r in out["quality_rules"].collect()}
-    want = brute_components(list(rows), shingle_sets(rows.values()))
+    want = brute_components(list(rows), shingle_sets(rows.values()), 80)  # the stage's threshold
     assert ids("near_dedup") == {i for i, c in want.items() if i == c}
     assert ids("private_data") == ids("near_dedup") >= ids("source_mix") == ids("best_fit_packing")
     assert corpus_pipeline.run(spark, sf_dir).count() == out["best_fit_packing"].count()
