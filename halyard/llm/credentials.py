@@ -7,8 +7,8 @@ points of them: an access identifier needs a secret, a secret needs an access id
 Parts of a text meet in an interval join on (text, bucket of ``scope`` code points). The side that is looked up is
 reduced to one row for each bucket and role first, so no bucket yields pairs. Only texts with weak parts take part.
 
-Nulls: a null text is empty, doc_id may be null. Rows with the same doc_id and text get the same spans. An empty table
-gives an empty result. Other columns are ignored.
+Nulls: a null text is empty, doc_id may be null. Rows with the same doc_id and text get the same spans. Texts of any length
+are scanned whole. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

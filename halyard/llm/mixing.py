@@ -9,7 +9,9 @@ rounded alone: the taken words miss the target by less than one document's size.
 
 Nulls: a null text has no words, a null source is a source of its own, a null doc_id is a value like others. Rows with
 the same doc_id, source and size are told apart by a running number only, as nothing else differs. Rows without
-words take nothing. An empty table gives an empty result.
+words take nothing. Texts of any length are counted whole; one longer than a source's target can be all that is taken of
+it, or nothing. Other columns pass through ``mixed_documents`` as they are, whatever their names. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ A plan has at most a few entries for each length (a combination, taken as often
 of one of its lengths), so it is small enough to be sent to every task.
 
 Nulls: a null text is empty and makes one piece of the end token; doc_id may be null or repeated. An empty table packs
-into nothing. Other columns are ignored.
+into nothing. Texts of any length are encoded whole, one at a time, and cut into pieces only where they exceed the
+capacity. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,6 +8,10 @@ container that Spark writes to any store: part (order of the files), segment, n_
 A segment's bytes, little-endian: magic "HPF1", n_docs u32, n_ids u64, n_blocks u32; per document its doc_id i64, null
 flag u8 and number of ids u32; per block its minimum u32, width u8, number of exceptions u16 and the start of its
 payload u32; payloads, each a block's packed values; exceptions, block by block: places u8, then high bits u32.
+
+Nulls: a null text is empty and has the end id alone; rows without doc_id come first; rows that share one are each written,
+in any order. Texts of any length are encoded whole; one longer than a segment is a segment of its own. An empty table
+writes no segment and reads back as no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

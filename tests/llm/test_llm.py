@@ -816,6 +816,29 @@ def test_registered(spark, sf_dir):
             assert sorted(str([r[c] for c in names]) for r in rows) == sorted(str([v[at[c]] for c in names]) for v in want.fetchall())
 
 
+def test_very_long_text(spark):
+    """A text of 12 MB beside short ones, through every operator."""
+    rng = random.Random(5)
+    own = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(5000)]
+    long = " ".join(rng.choices(own, k=1_750_000))
+    df = docs_of(spark, [long, long + " end", "short one", "write to a.b@c.org " + long[:70]])
+    n = len(long.split())
+    assert {r["size"] for r in as_rows(mixing.mix(sized(df)))} >= {n, n + 1}
+    new = replaced_texts(spark, [long + " a.b@c.org"])[0]
+    assert new.startswith(long) and not new.endswith("a.b@c.org")
+    dup = {r["doc_id"]: r for r in as_rows(near_dup.near_duplicates(df))}
+    assert dup[1]["component_id"] == 0 and dup[0]["n_shingles"] == len(shingle_sets([long])[0])
+    assert as_rows(credentials.scanned(docs_of(spark, [long + " password=abcdef1"])))[0]["n_assign"] == 1
+    assert {r["n_words"] for r in as_rows(host_rules.judged(df))} >= {n, n + 1}
+    assert all(0 <= r["score"] <= 1 for r in as_rows(quality_gbt.scored(df, spark.createDataFrame([], "doc_id long, quality int"))))
+    name = path("byte_bpe_50k.json")
+    want = len(chunks.ChunkEncoder(name).tokenizer.encode(long, add_special_tokens=False).ids)
+    assert {r["doc_id"]: r["n_tokens"] for r in as_rows(token_counts.counted(df, name))}[0] == want
+    assert {r["doc_id"]: r["n_tokens"] for r in as_rows(token_files.round_trip(df, name))}[0] == want + 1
+    assert sum(r["doc_id"] == 0 for r in as_rows(packing.pack_documents(df, path("word_bpe_49k.json")))) > 400
+    assert {r["doc_id"] for r in as_rows(search.top_k(df, df.where("doc_id = 1"), 2))} == {0, 1}
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
