@@ -7,8 +7,9 @@ probability that its similarity reaches the threshold is below ``miss``. Members
 their full sets are moved, and verify the pairs exactly.
 
 A cell gives a spanning forest of its links, so a group of g copies yields at most g - 1 links for each cell it is in.
-Groups too large for a cell are first compared with a few of their members. What these do not join, outside a group's
-largest component, is compared with all of the group, block by block, if it fills few cells: that costs rows in proportion
+Groups too large for a cell come after all smaller ones, which join most of their members too. Where more than a cell of
+members stays outside a group's largest component, the group is compared with a few of its members. What is not joined
+then is compared with all of the group, block by block, if it fills few cells: that costs rows in proportion
 to the group. Otherwise it is looked for by a second band: members of the group that share another band too are a smaller
 group, compared in the same way, down to ``LEVELS`` bands; a linked pair shares no other band with probability 5e-6. Groups
 that are large even then are compared block by block. Thus every candidate pair is either compared or known to be
@@ -221,15 +222,15 @@ def star_cells(members: DataFrame) -> DataFrame:
 
 
 def unjoined(large: DataFrame, parts: DataFrame) -> DataFrame:
-    """Of large groups (key, at, rep, w, g) that ``parts`` (node, component) leaves apart: key, at, rep, w, main (whether the row
+    """Of large groups (key, at, rep, w, g) that ``parts`` (node, component) leaves apart: key, at, rep, w, g, main (whether the row
     is in the group's heaviest component), comp, bv and bu, the cells that those inside and outside of it fill."""
     met = large.join(parts, F.col("rep") == F.col("node"), "left")
-    met = checkpointed(met.select("key", "at", "rep", "w", F.coalesce("component", "rep").alias("comp")))
+    met = checkpointed(met.select("key", "at", "rep", "w", "g", F.coalesce("component", "rep").alias("comp")))
     sizes = met.groupBy("key", "comp").agg(F.sum("w").alias("n"))
     main = sizes.groupBy(F.col("key").alias("k")).agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("nv"), F.sum("n").alias("all"), F.count("*").alias("comps"))
     cells = lambda n: F.greatest(F.ceil(n / CELL), F.lit(1)).cast("long")
     main = main.where("comps > 1").select("k", "main", cells(F.col("nv")).alias("bv"), cells(F.col("all") - F.col("nv")).alias("bu"))
-    return checkpointed(met.join(sized(checkpointed(main)), F.col("key") == F.col("k")).select("key", "at", "rep", "w", "comp", (F.col("comp") == F.col("main")).alias("main"), "bv", "bu"))
+    return checkpointed(met.join(sized(checkpointed(main)), F.col("key") == F.col("k")).select("key", "at", "rep", "w", "g", "comp", (F.col("comp") == F.col("main")).alias("main"), "bv", "bu"))
 
 
 def divided(apart: DataFrame, reps: DataFrame) -> DataFrame:
@@ -246,6 +247,24 @@ def divided(apart: DataFrame, reps: DataFrame) -> DataFrame:
     return grouped(members.join(sized(checkpointed(mixed)), F.col("key") == F.col("k"), "left_semi").select("key", "at", "rep", "w"))
 
 
+def merged(apart: DataFrame) -> DataFrame:
+    """``apart``, groups of ``unjoined``, with those of the same main component as one group where its cells have fewer rows
+    than theirs: it is then moved once, not for each band."""
+    core = apart.groupBy("key").agg(F.max(F.when(F.col("main"), F.col("comp"))).alias("core")).select(F.col("key").alias("k"), "core")
+    core = checkpointed(core)
+    met = apart.join(sized(core), F.col("key") == F.col("k"))
+    cost = F.when(F.col("main"), F.col("bu")).otherwise(F.col("bv") + F.col("bu"))
+    rows = checkpointed(met.groupBy("core", "rep", "main").agg(F.max("w").alias("w"), F.sum(cost).alias("cost")))
+    weight = lambda side: F.greatest(F.ceil(F.sum(F.when(side, F.col("w"))) / CELL), F.lit(1)).cast("long")
+    sizes = rows.groupBy(F.col("core").alias("c")).agg(weight(F.col("main")).alias("bv"), weight(~F.col("main")).alias("bu"), F.count_if("main").alias("nv"), F.count_if(~F.col("main")).alias("nu"), F.sum("cost").alias("cost"))
+    fewer = F.col("nv") * F.col("bu") + F.col("nu") * (F.col("bv") + F.col("bu")) < F.col("cost")
+    fits = checkpointed(sizes.where(fewer).select("c", "bv", "bu"))
+    whole = rows.join(sized(fits), F.col("core") == F.col("c")).select(F.col("core").alias("key"), "rep", "main", "bv", "bu")
+    done = checkpointed(core.join(sized(fits), F.col("core") == F.col("c"), "left_semi").select("k"))
+    rest = apart.join(sized(done), F.col("key") == F.col("k"), "left_anti").select("key", "rep", "main", "bv", "bu")
+    return checkpointed(whole.unionByName(rest))
+
+
 def block_cells(apart: DataFrame) -> DataFrame:
     """Groups of ``unjoined``: members outside the main component against all of the group, by blocks."""
     zero = F.lit(0).cast("long")
@@ -281,11 +300,14 @@ def group_links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: i
         large = members.where(F.col("g") > CELL)
         if not large.limit(1).count():
             break
-        links = links.unionByName(found(star_cells(members)))
         apart = unjoined(large, components(links))
+        many = checkpointed(apart.where("bu > 1").select("key", "at", "rep", "w", "g"))
+        if many.limit(1).count():
+            links = links.unionByName(found(star_cells(many)))
+            apart = apart.where("bu = 1").unionByName(unjoined(many, components(links)))
         few = apart if level == LEVELS - 1 else apart.where(F.col("bu") <= OUTSIDE)
         if few.limit(1).count():
-            links = links.unionByName(found(block_cells(few)))
+            links = links.unionByName(found(block_cells(merged(few))))
         apart = apart.where(F.col("bu") > OUTSIDE)
         if level == LEVELS - 1 or not apart.limit(1).count():
             break

@@ -359,6 +359,22 @@ def test_near_dedup_stage_threshold(spark):
         assert all(r["kept"] for r in as_rows(near_dup.near_duplicates(df)))
 
 
+def test_near_copies_move_few_rows(spark, words, monkeypatch):
+    """Near copies share most bands: large groups are compared after small ones, for what these leave apart, and once for
+    all bands that have the same main component."""
+    rng = random.Random(21)
+    base, texts = prose(rng, words, 200).split(), []
+    for k in range(400):
+        own = list(base)
+        own[rng.randrange(200)] = f"only{k}"
+        texts.append(" ".join(own))
+    compared, survivors = [], near_dup.survivors
+    monkeypatch.setattr(near_dup, "survivors", lambda cells, *a: compared.append(cells.count()) or survivors(cells, *a))
+    out = as_rows(near_dup.near_duplicates(docs_of(spark, texts), 80))
+    assert {r["component_id"] for r in out} == {0} and len(out) == 400
+    assert sum(compared) < 10_000, compared
+
+
 def test_deduplicated_by_row(spark, words):
     """One row of each group stays where ids are missing or shared, and rows that only share an id are not a group."""
     rng = random.Random(21)
