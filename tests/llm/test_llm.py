@@ -789,6 +789,26 @@ def test_search_awkward(awkward):
     assert set(got) <= set(asks)
 
 
+def test_search_holds_one_shard(spark, words, monkeypatch):
+    """A task is sent one shard at a time, however many its file has."""
+
+    def alone(*args, whole=search.Shard):
+        import sys
+
+        if (n := len(sys._getframe(1).f_locals["batch"])) > 1:
+            raise ValueError(f"{n} shards at once")
+        return whole(*args)
+
+    monkeypatch.setattr(search, "SHARD_DOCS", 50)
+    monkeypatch.setattr(search, "Shard", alone)
+    rng = random.Random(5)
+    df = docs_of(spark, [prose(rng, words, 30) for _ in range(400)]).coalesce(1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    assert search.top_k(df, df.where("doc_id < 9")).count() == 90
+    assert spark.conf.get(name) == before
+
+
 def test_search_skips(words):
     """Blocks whose maxima stay below a query's threshold are not opened, and the answers are those of all blocks."""
     rng = random.Random(7)
