@@ -77,7 +77,7 @@ def wedges(spark, sf_dir):
 
 
 def closed_wedges(spark, sf_dir):
-    return triangles.closed(triangles.oriented(copurchase(spark, sf_dir))).groupBy("lo", "mid").agg(F.count("*").alias("n"))
+    return triangles.edge_triangles(triangles.oriented(copurchase(spark, sf_dir))).where("n > 0")
 
 
 def triangles_mid(spark, sf_dir):

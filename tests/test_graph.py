@@ -200,3 +200,13 @@ def test_pandas_step(spark):
     state = spark.createDataFrame([(1,), (2,), (3,)], "id long")
     sent = spark.createDataFrame([(1,), (1,), (3,), (9,)], "dst long")
     assert {tuple(r) for r in escape.pandas_step(state, sent, count, "id long, n long", 2).collect()} == {(1, 2), (2, 0), (3, 1)}
+
+
+def test_closed_wedges_makes_no_wedges(spark, sf_dir, monkeypatch):
+    """Triangles by edge come from neighbour lists, not from wedges that cross the network."""
+    from halyard import queries
+
+    want = triangles.closed(triangles.oriented(queries.copurchase(spark, sf_dir))).groupBy("lo", "mid").agg(F.count("*").alias("n"))
+    want = sorted(map(tuple, want.collect()))
+    monkeypatch.setattr(triangles, "wedges", None)
+    assert sorted(map(tuple, queries.closed_wedges(spark, sf_dir).collect())) == want != []
