@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm.chunks import slices, tidy
-from halyard.llm.common import WORD, checkpointed, kept_table, sized
+from halyard.llm.common import WORD, checkpointed, kept_table, rows_at_once, sized
 from halyard.llm.components import components
 from halyard.llm.shingles import Signer, set_print, shingle_set
 
@@ -318,7 +318,8 @@ def group_links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: i
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, miss: float = 1e-9) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept."""
-    signs = kept_table(signed(docs, k, bands_for(percent)))
+    with rows_at_once(docs.sparkSession):
+        signs = kept_table(signed(docs, k, bands_for(percent)))
     some = signs.where("n > 0")
     classes = checkpointed(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")))
     firsts = classes.where("rep is not null").select(F.col("rep").alias("r"))
@@ -327,7 +328,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, miss: float
     members = memberships(reps)
     active = checkpointed(members.select(F.col("rep").alias("r")).distinct())
     named = docs.select("doc_id", "text").where("doc_id is not null").join(sized(active), F.col("doc_id") == F.col("r"), "left_semi")
-    links = group_links(members, reps, kept_table(sets_of(named, k)), percent, miss)
+    with rows_at_once(docs.sparkSession):
+        sets = kept_table(sets_of(named, k))
+    links = group_links(members, reps, sets, percent, miss)
     found = checkpointed(components(links))
     placed = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("f1").alias("p1"), F.col("f2").alias("p2"), F.coalesce("component", "rep").alias("component_id"))
     linked = some.select("doc_id", "n", "f1", "f2").join(placed, (F.col("f1") == F.col("p1")) & (F.col("f2") == F.col("p2")))

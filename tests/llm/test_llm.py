@@ -2,6 +2,7 @@
 empty tables and columns of clashing names."""
 
 import collections
+import functools
 import hashlib
 import itertools
 import math
@@ -809,6 +810,31 @@ def test_search_holds_one_shard(spark, words, monkeypatch):
     assert spark.conf.get(name) == before
 
 
+@pytest.mark.parametrize("module, names, run", [(near_dup, ("signed", "sets_of"), lambda df: near_dup.near_duplicates(df))])
+def test_few_texts_at_once(spark, words, monkeypatch, tmp_path, module, names, run):
+    """Texts come from Parquet and go to Python a few at a time, and the session's settings are as before."""
+    confs = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+    before, seen = [spark.conf.get(c) for c in confs], []
+
+    def sizes(batches):
+        for batch in batches:
+            if len(batch) > 64:
+                raise ValueError(f"{len(batch)} texts at once")
+            yield batch
+
+    def watched(docs, *args, whole):
+        seen.append([spark.conf.get(c) for c in confs])
+        return whole(docs.mapInArrow(sizes, docs.schema), *args)
+
+    for name in names:
+        monkeypatch.setattr(module, name, functools.partial(watched, whole=getattr(module, name)))
+    rng = random.Random(6)
+    docs_of(spark, [prose(rng, words, 30) for _ in range(300)] * 2).coalesce(1).write.parquet(f"{tmp_path}/docs")
+    assert run(spark.read.parquet(f"{tmp_path}/docs")).count() > 0
+    assert seen == [["64", "64"]] * 2
+    assert [spark.conf.get(c) for c in confs] == before
+
+
 def test_search_skips(words):
     """Blocks whose maxima stay below a query's threshold are not opened, and the answers are those of all blocks."""
     rng = random.Random(7)
