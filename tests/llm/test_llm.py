@@ -810,7 +810,7 @@ def test_search_holds_one_shard(spark, words, monkeypatch):
     assert spark.conf.get(name) == before
 
 
-@pytest.mark.parametrize("module, names, run", [(near_dup, ("signed", "sets_of"), lambda df: near_dup.near_duplicates(df))])
+@pytest.mark.parametrize("module, names, run", [(near_dup, ("signed", "sets_of"), lambda df: near_dup.near_duplicates(df)), (search, ("indexed", "query_terms"), lambda df: search.top_k(df, df.where("doc_id < 9")))])
 def test_few_texts_at_once(spark, words, monkeypatch, tmp_path, module, names, run):
     """Texts come from Parquet and go to Python a few at a time, and the session's settings are as before."""
     confs = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
